@@ -215,11 +215,11 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     sketch = stored(sketches(docs, words), "jaccard-sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    first = full.join(classes, (full.digest == classes.digest) & (full.doc_id == classes.rep)).select("rep", "n_shingles", "bands")
+    first = full.join(classes.hint("merge"), (full.digest == classes.digest) & (full.doc_id == classes.rep)).select("rep", "n_shingles", "bands")
     keys = first.select("rep", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     candidates = (
-        keys.join(pivots, "key").where("rep <> pivot").groupBy("rep", "pivot").count().where(F.col("count") >= MIN_BANDS)
+        keys.join(pivots.hint("merge"), "key").where("rep <> pivot").groupBy("rep", "pivot").count().where(F.col("count") >= MIN_BANDS)
         .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     )
     families = stored(connected_components(candidates, "jaccard-family").select(F.col("id").alias("rep"), F.col("label").alias("family")), "jaccard-families")
@@ -229,7 +229,7 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     blocked = sized.join(share, ["family", "band"]).withColumn("block", F.concat_ws(":", "family", "band", F.pmod(F.xxhash64("rep"), F.col("parts"))))
     blocked = stored(blocked.select("rep", "family", "n_shingles", "block"), "jaccard-blocks")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    placed = stored(blocked.join(texts, "rep"), "jaccard-texts")
+    placed = stored(blocked.hint("merge").join(texts, "rep"), "jaccard-texts")
 
     own = placed.select(F.col("block").alias("task"), F.lit(0).alias("side"), "rep", F.col("rep").alias("component"), "text")
     heads = placed.where("rep = family").select("family", F.col("block").alias("home"), "rep", "text")
@@ -257,7 +257,7 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
         across = _block_links(sides[0].unionByName(sides[1]), words)
         labels = connected_components(links.union(across), "jaccard-all")
     final = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
+    out = sketch.select("doc_id", "n_shingles", "digest").join(final.hint("merge"), "digest", "left")
     own_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))
 
