@@ -19,7 +19,6 @@ is lost, and one position in 16 takes part. Ranks are classes of equal strings,
 
 Only packed arrays are shuffled: fingerprints and doc_ids by fingerprint range, after each
 task has kept the smallest doc_id of every class that it saw; the answers go back by doc_id.
-Whole copies are settled before: only the smallest doc_id of equal texts takes part.
 
 Nulls: a null text is empty. A row without doc_id comes back unchanged with nothing removed
 and takes no part. Rows that repeat a doc_id are one document to each other: no matches
@@ -41,7 +40,11 @@ from trunkline.llm.common import ByteHasher, documents, mix64, stored, text_chun
 LENGTH = 50
 SEED = 20
 #: Text bytes of a task whose classes are merged before they are shuffled.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 8 << 20
+#: Text bytes scanned at once; the arrays over them take about 100 bytes a byte.
+SCAN_BYTES = 1 << 18
+#: Fingerprint ranges for each shuffle partition, so that partitions come out even.
+PARTS_PER_PARTITION = 4
 ANSWER = "doc_id long, settled binary, open binary"
 U = np.uint64
 
@@ -153,7 +156,7 @@ def _scan(docs: DataFrame, parts: int, length: int, seed: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, at in text_chunks(batch.column(1)):
+            for lo, hi, data, at in text_chunks(batch.column(1), SCAN_BYTES):
                 s = Sample(data, at, hasher, length, seed)
                 if len(s.lo):
                     doc = ids[lo:hi][s.row].astype(np.int64)
@@ -270,7 +273,7 @@ def _window_parts(placed: DataFrame, parts: int, length: int, seed: int) -> Data
         for batch in batches:
             ids = batch.column(0).to_pylist()
             settled, opened = batch.column(2), batch.column(3)
-            for lo, hi, data, at in text_chunks(batch.column(1)):
+            for lo, hi, data, at in text_chunks(batch.column(1), SCAN_BYTES):
                 s = Sample(data, at, hasher, length, seed)
                 for i in range(lo, hi):
                     _, todo = _marked(s, i - lo, settled[i].as_py(), opened[i].as_py())
@@ -314,7 +317,7 @@ def _cut(placed: DataFrame, length: int, seed: int) -> DataFrame:
         for batch in batches:
             out = []
             ids = batch.column(0).to_pylist()
-            for lo, hi, data, at in text_chunks(batch.column(1)):
+            for lo, hi, data, at in text_chunks(batch.column(1), SCAN_BYTES):
                 s = Sample(data, at, hasher, length, seed)
                 cover = np.zeros(len(data) + 1, dtype=np.int64)
                 for i in range(lo, hi):
@@ -333,62 +336,45 @@ def _cut(placed: DataFrame, length: int, seed: int) -> DataFrame:
                     kept = bytes_[~own].tobytes()
                     edge = own.copy()
                     edge[1:] &= ~own[:-1]
-                    out.append((ids[i], int(own.sum()), int(edge.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kinds[j]) for j in range(5)], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                    out.append((ids[i], int(own.sum()), int(edge.sum()), hashlib.sha256(kept).hexdigest(), hashlib.sha256(bytes_.tobytes()).hexdigest(), kept.decode("utf-8", "ignore")))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kinds[j]) for j in range(6)], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "digest", "kept_text"])
 
-    return placed.select("doc_id", "text", "settled", "open", "repeated").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return placed.select("doc_id", "text", "settled", "open", "repeated").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, digest string, kept_text string")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(one row a document with its class of equal texts, rows of documents that lose a part).
+def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """doc_id, digest (of the text), n_removed, n_spans, kept_sha256, kept_text of rows that may lose a part.
 
-    First: doc_id, n_bytes, digest, own (smallest doc_id of the text). Second: doc_id (an own),
-    n_removed, n_spans, kept_sha256, kept_text (characters cut in part are left out).
+    In kept_text, characters that lose some of their bytes are left out whole.
     """
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    light = stored(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")), "repeats-digests")
-    classes = stored(light.where("doc_id is not null").groupBy("digest", "n_bytes").agg(F.min("doc_id").alias("own")), "repeats-classes")
-    first = texts.withColumn("digest", F.sha2("text", 256)).where(F.octet_length("text") >= length)
-    # the join is on (digest, doc_id), so that copies of one text spread out
-    firsts = first.join(classes.select("digest", F.col("own").alias("doc_id")), ["digest", "doc_id"]).select("doc_id", "text")
-    # a doc_id on several rows counts once for each text; ranks only compare doc_ids
-    found = _answers(_scan(firsts, parts, length, seed), parts)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.octet_length("text") >= length)
+    found = _answers(_scan(texts, PARTS_PER_PARTITION * parts, length, seed), parts)
     found = stored(found.groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("open").alias("open")), "repeats-found")
-    placed = stored(firsts.join(found, "doc_id"), "repeats-placed")
-    again = _window_answers(_window_parts(placed, parts, length, seed), parts)
+    placed = stored(texts.join(found.hint("merge"), "doc_id"), "repeats-placed")
+    again = _window_answers(_window_parts(placed, PARTS_PER_PARTITION * parts, length, seed), parts)
     again = again.groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated"))
-    return light.join(classes, ["digest", "n_bytes"], "left"), _cut(placed.join(again, "doc_id", "left"), length, seed)
-
-
-EMPTY = hashlib.sha256(b"").hexdigest()
+    return _cut(placed.join(again.hint("merge"), "doc_id", "left"), length, seed)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, cut = deduplicated(documents(spark, sf_dir))
-    copy = (F.col("doc_id") != F.col("own")) & (F.col("n_bytes") >= LENGTH)
-    out = rows.join(cut.drop("kept_text"), "doc_id", "left")
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
+    docs = documents(spark, sf_dir)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
+    cut = deduplicated(docs).drop("kept_text").distinct()
+    return rows.join(cut, ["doc_id", "digest"], "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256")
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the repeated bytes out of the texts; a document that loses all of its text goes.
-
-    Characters that lose some of their bytes are left out whole. n_chars follows the text.
-    """
-    rows, cut = deduplicated(docs)
-    copies = rows.where((F.col("doc_id") != F.col("own")) & (F.col("n_bytes") >= LENGTH)).select("doc_id", "digest").distinct()
-    kept = stored(cut.where("n_removed > 0").select("doc_id", F.col("kept_text")), "repeats-kept")
-    left = docs.withColumn("digest", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).join(copies, ["doc_id", "digest"], "left_anti").drop("digest")
-    out = left.join(kept, "doc_id", "left").where("kept_text is null or kept_text <> ''")
-    changed = {"text": F.coalesce("kept_text", "text").alias("text"), "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars")}
+    """Cut the repeated bytes out of the texts; a document that loses all of its text goes. n_chars follows the text."""
+    cut = stored(deduplicated(docs).where("n_removed > 0").select("doc_id", "digest", "kept_text").distinct(), "repeats-kept")
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    out = docs.withColumn("digest", digest).join(cut, ["doc_id", "digest"], "left").where("kept_text is null or kept_text <> ''")
+    n_chars = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")) if "n_chars" in docs.columns else F.lit(0)
+    changed = {"text": F.coalesce("kept_text", "text").alias("text"), "n_chars": n_chars.cast("long").alias("n_chars")}
     return out.select(*[changed.get(c, F.col(c)) for c in docs.columns])
