@@ -5,13 +5,14 @@
    it imitates, separators between single letters may vanish, runs of a letter may shrink to
    one or two. Viterbi decoding under the character model picks the restored word. Plain words
    have one path, themselves.
-3. Words of restored training texts get log odds of toxic against other documents; the strong ones
-   are the lexicon, whose own trigrams join the character model for the decoding that counts.
-4. A document's score is a logistic function, fitted on training rows, of the summed log odds
-   of its distinct lexicon words and of their share of its words.
+3. Words of restored training texts (near copies count once), and their first 4 to 6 letters, get log odds of toxic against
+   other documents, less 1.5 standard errors; the strong ones are the lexicon, whose own
+   trigrams join the character model for the decoding that counts.
+4. A document's score is a logistic function, fitted on training rows, of the number of its
+   distinct lexicon words and of their summed log odds.
 
 Labels are learnt from at most ``SAMPLE_ROWS`` labelled training rows (smallest hashes of
-doc_id); lexicon and calibration use different halves of them.
+doc_id); three quarters of them make the lexicon, the rest the calibration.
 
 Nulls: a null text is empty and scores like a text without lexicon words. Null labels don't
 count. Without both classes, the score is the share of label 1 (0 without labels). Extra columns
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import documents, text_chunks
+from trunkline.llm.common import ByteHasher, documents, text_chunks, word_hashes
 from trunkline.llm.quality_gam import held_out, labelled_sample
 
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 2_000
-LEAST_DOCUMENTS, LEAST_ODDS = 4, 3.0
+LEAST_DOCUMENTS, LEAST_ODDS = 8, 3.0
+STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 3, 1
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -149,10 +151,9 @@ class Restorer:
     def __init__(self, model: np.ndarray) -> None:
         self.model, self.known = model, {}
 
-    def words(self, text: str) -> tuple[set[str], int]:
+    def words(self, text: str) -> set[str]:
         low = text.lower()
-        found = WORD.findall(low)
-        out = set(found)
+        out = set(WORD.findall(low))
         for m in SUSPECT.finditer(low):
             span = m.group()
             if len(span) > LONGEST_SPAN:
@@ -162,7 +163,25 @@ class Restorer:
                     self.known.clear()
                 self.known[span] = decode(span, self.model)
             out.add(self.known[span])
-        return out, len(found)
+        return out
+
+
+def _one_of_near_copies(joined: DataFrame) -> list[int]:
+    """The smallest doc_id for each smallest word hash: near copies share it and count once. At most the sample's rows."""
+
+    def run(batches):
+        hasher = ByteHasher()
+        for batch in batches:
+            least = []
+            for lo, hi, data, at in text_chunks(batch.column(1)):
+                words, row = word_hashes(data, at, hasher)
+                low = np.full(hi - lo, np.iinfo(np.uint64).max, dtype=np.uint64)
+                np.minimum.at(low, row, words)
+                least.append(low)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*least, np.zeros(0, np.uint64)]).view(np.int64))], names=["doc_id", "least"])
+
+    got = joined.select("doc_id", "text").mapInArrow(run, "doc_id long, least long")
+    return [r[0] for r in got.groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id").collect()]
 
 
 def _word_rows(joined: DataFrame, model: np.ndarray) -> DataFrame:
@@ -177,7 +196,8 @@ def _word_rows(joined: DataFrame, model: np.ndarray) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in restorer.words(text or "")[0]:
+                found = restorer.words(text or "")
+                for w in found | {w[:k] + "~" for w in found for k in STEMS if len(w) > k}:
                     counts.setdefault(w, [0, 0])[int(label == 1)] += 1
             if len(counts) > 500_000:
                 yield out()
@@ -187,23 +207,28 @@ def _word_rows(joined: DataFrame, model: np.ndarray) -> DataFrame:
     return joined.mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _features(found: set[str], n: int, lexicon: dict[str, float]) -> tuple[float, float]:
-    hits = [lexicon[w] for w in found if w in lexicon]
-    return min(sum(hits), 20.0), float(np.log1p(100.0 * len(hits) / max(n, 1)))
+def _features(found: set[str], lexicon: dict[str, float], stems: dict[str, float]) -> tuple[float, float]:
+    """Distinct lexicon words (6 at most count) and the logarithm of their summed odds."""
+    odds = [lexicon[w] for w in found & lexicon.keys()]
+    if stems:
+        odds += [max(got) for w in found if w not in lexicon and (got := [stems[w[:k]] for k in STEMS if len(w) > k and w[:k] in stems])]
+    return float(min(len(odds), 6)), float(np.log1p(sum(odds)))
 
 
 def _rows(frame: DataFrame, model: np.ndarray, lexicon: dict[str, float], extra: str) -> DataFrame:
-    """(doc_id, [label,] odds, density)."""
-    names = [*frame.columns[:-1], "odds", "density"]
+    """(doc_id, [label,] hits, odds)."""
+    names = [*frame.columns[:-1], "hits", "odds"]
 
     def run(batches):
         restorer = Restorer(model)
+        whole = {w: o for w, o in lexicon.items() if w[-1] != "~"}
+        stems = {w[:-1]: o for w, o in lexicon.items() if w[-1] == "~"}
         for batch in batches:
-            x = [_features(*restorer.words(t or ""), lexicon) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            x = [_features(restorer.words(t or ""), whole, stems) for t in batch.column(batch.num_columns - 1).to_pylist()]
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64())], names=names)
 
-    return frame.mapInArrow(run, f"doc_id long, {extra}odds double, density double")
+    return frame.mapInArrow(run, f"doc_id long, {extra}hits double, odds double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -224,7 +249,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, training: F.Column, rows: int =
     counts = trigram_counts(docs)
     plain = log_model(counts)
     sample = labelled_sample(labels, "toxic", training, rows)
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
+    half = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 3).cast("int")
     size = sample.groupBy("label").count().collect()
     share = {r[0]: r[1] for r in size}
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -232,18 +257,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, training: F.Column, rows: int =
         level = float(max(share, default=0))
         return texts.select("doc_id", F.lit(level).alias("score"))
     joined = texts.join(F.broadcast(sample), "doc_id")  # at most ``rows`` rows of 12 bytes
-    words = _word_rows(joined.where(half == 0).select("text", "label"), plain)
-    n = {r[0]: r[1] for r in sample.where(half == 0).groupBy("label").count().collect()}
-    odds = F.log((F.col("toxic") + 0.5) / F.lit(n.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n.get(0, 0) + 1.0))
+    single = docs.sparkSession.createDataFrame([(i,) for i in _one_of_near_copies(joined.where(half == 0))], "doc_id long")
+    learnt = joined.join(F.broadcast(single), "doc_id", "left_semi")
+    words = _word_rows(learnt.select("text", "label"), plain)
+    n = {r[0]: r[1] for r in sample.join(single, "doc_id", "left_semi").groupBy("label").count().collect()}
+    odds = F.log((F.col("toxic") + 0.5) / F.lit(n.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n.get(0, 0) + 1.0)) - 1.5 * F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     strong = words.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     lexicon = {r["word"]: r["odds"] for r in strong.orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).collect()}
-    model = log_model(counts, word_trigrams(list(lexicon)))
+    model = log_model(counts, word_trigrams([w for w in lexicon if w[-1] != "~"]))
     fit = sorted(_rows(joined.where(half == 1).select("doc_id", "label", "text"), model, lexicon, "label int, ").collect())
     y = np.array([r[1] for r in fit], dtype=float)
     x = np.array([[r[2], r[3]] for r in fit], dtype=float).reshape(len(fit), 2)
     w = logistic(x, y) if len(fit) else np.zeros(3)
     out = _rows(texts, model, lexicon, "")
-    return out.select("doc_id", (1 / (1 + F.exp(-(F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("odds") + F.lit(float(w[2])) * F.col("density"))))).alias("score"))
+    return out.select("doc_id", (1 / (1 + F.exp(-(F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("hits") + F.lit(float(w[2])) * F.col("odds"))))).alias("score"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
