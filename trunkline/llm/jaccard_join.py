@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, connected_components, documents, grouped_frames, mix64, shingle_sets, stored
+from trunkline.llm.common import ByteHasher, connected_components, documents, grouped_frames, mix64, packed_texts, shingle_sets, stored, unpacked
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 60, 4
@@ -189,14 +189,14 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
 def _block_links(rows: DataFrame, words: int) -> DataFrame:
     """Links (a, b) within each ``task``: side 0 with itself, or side 0 with side 1 where there is one.
 
-    rows: task string, side int, rep long, component long, text string; a task holds a block or two.
+    rows: task string, side int, rep long, component long, packed binary; a task holds a block or two.
     """
 
     def run(batches):
         hasher = ByteHasher()
         out = []
         for group in grouped_frames((b.to_pandas() for b in batches), ["task"]):
-            sets = list(shingle_sets(pa.array(group["text"].tolist(), pa.large_string()), hasher, words))
+            sets = [s for _, _, texts in unpacked(pa.array(group["packed"].tolist(), pa.binary())) for s in shingle_sets(texts, hasher, words)]
             ids, side = group["rep"].tolist(), group["side"].tolist()
             left = [i for i, s in enumerate(side) if s == 0]
             right = [i for i, s in enumerate(side) if s == 1]
@@ -206,7 +206,7 @@ def _block_links(rows: DataFrame, words: int) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    dealt = rows.select("task", "side", "rep", "component", "text").repartition("task").sortWithinPartitions("task")
+    dealt = rows.select("task", "side", "rep", "component", "packed").repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -215,7 +215,8 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     sketch = stored(sketches(docs, words), "jaccard-sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    first = full.join(classes.hint("merge"), (full.digest == classes.digest) & (full.doc_id == classes.rep)).select("rep", "n_shingles", "bands")
+    first = full.join(classes.hint("merge"), (full.digest == classes.digest) & (full.doc_id == classes.rep))
+    first = stored(first.select("rep", "n_shingles", "bands"), "jaccard-first")
     keys = first.select("rep", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     candidates = (
@@ -228,13 +229,13 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     share = sized.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocked = sized.join(share, ["family", "band"]).withColumn("block", F.concat_ws(":", "family", "band", F.pmod(F.xxhash64("rep"), F.col("parts"))))
     blocked = stored(blocked.select("rep", "family", "n_shingles", "block"), "jaccard-blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    texts = packed_texts(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"))
     placed = stored(blocked.hint("merge").join(texts, "rep"), "jaccard-texts")
 
-    own = placed.select(F.col("block").alias("task"), F.lit(0).alias("side"), "rep", F.col("rep").alias("component"), "text")
-    heads = placed.where("rep = family").select("family", F.col("block").alias("home"), "rep", "text")
+    own = placed.select(F.col("block").alias("task"), F.lit(0).alias("side"), "rep", F.col("rep").alias("component"), "packed")
+    heads = placed.where("rep = family").select("family", F.col("block").alias("home"), "rep", "packed")
     others = blocked.select("family", "block").distinct().join(heads, "family").where("block <> home")
-    pivot = others.select(F.col("block").alias("task"), F.lit(0).alias("side"), "rep", F.col("rep").alias("component"), "text")
+    pivot = others.select(F.col("block").alias("task"), F.lit(0).alias("side"), "rep", F.col("rep").alias("component"), "packed")
     links = stored(_block_links(own.unionByName(pivot), words), "jaccard-links")
 
     labels = connected_components(links, "jaccard-inner")
@@ -249,9 +250,9 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     pairs = x.join(y, "family").where(apart & near).select(F.col("x.block").alias("one"), F.col("y.block").alias("two"))
     pairs = stored(pairs.withColumn("task", F.concat_ws("|", "one", "two")), "jaccard-pairs")
     if pairs.limit(1).count():
-        whole = placed.join(state.select("rep", "component"), "rep").select("block", "rep", "component", "text")
+        whole = placed.join(state.select("rep", "component"), "rep").select("block", "rep", "component", "packed")
         sides = [
-            pairs.select("task", F.col(c).alias("block")).join(whole, "block").select("task", F.lit(i).alias("side"), "rep", "component", "text")
+            pairs.select("task", F.col(c).alias("block")).join(whole, "block").select("task", F.lit(i).alias("side"), "rep", "component", "packed")
             for i, c in enumerate(("one", "two"))
         ]
         across = _block_links(sides[0].unionByName(sides[1]), words)
