@@ -31,16 +31,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trunkline.llm.common import ByteHasher, documents, mix64, stored, text_chunks
+from trunkline.llm.common import ByteHasher, documents, mix64, packed_texts, stored, text_chunks, unpacked
 
 LENGTH = 50
 SEED = 20
 #: Text bytes of a task whose classes are merged before they are shuffled.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 6 << 20
 #: Text bytes scanned at once; the arrays over them take about 100 bytes a byte.
 SCAN_BYTES = 1 << 18
 #: Fingerprint ranges for each shuffle partition, so that partitions come out even.
@@ -146,7 +146,7 @@ def _scan(docs: DataFrame, parts: int, length: int, seed: int) -> DataFrame:
                     many = np.diff([*begin, e - s])
                     many = many.astype(np.uint16 if many.max() < 1 << 16 else np.int64)
                     tail = w[s:e].astype(np.uint32).tobytes() + (w[s:e] >> U(32)).astype(np.uint8).tobytes()
-                    out.append((i, ids.tobytes(), many.tobytes(), k[s:e].tobytes(), tail))
+                    out.append((i, ids.tobytes(), many.tobytes(), (k[s:e] >> U(32)).astype(np.uint32).tobytes() + ((k[s:e] >> U(16)) & U(0xFFFF)).astype(np.uint16).tobytes(), tail))
             if late.any():
                 by = np.lexsort((wide[late], doc[late]))
                 ids, (settled,) = _packed(doc[late][by], wide[late][by])
@@ -182,7 +182,8 @@ def _answers(scanned: DataFrame, parts: int) -> DataFrame:
             doc, key, tag = [], [], []
             for docs, many, seeds, wides in rows:
                 d = np.frombuffer(docs, np.int64)
-                k = np.frombuffer(seeds, U)
+                n = len(seeds) // 6
+                k = np.frombuffer(seeds, np.uint32, n).astype(U) << U(16) | np.frombuffer(seeds, np.uint16, n, 4 * n)
                 m = np.frombuffer(many, np.uint16 if len(many) == 2 * len(d) else np.int64)
                 doc.append(np.repeat(d, m))
                 key.append(k)
@@ -234,10 +235,10 @@ def _answers(scanned: DataFrame, parts: int) -> DataFrame:
     return scanned.repartition(parts, "part").mapInArrow(run, ANSWER)
 
 
-def _marked(sample: Sample, row: int, settled: list[bytes], opened: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _marked(sample: Sample, row: int, settled: list[bytes] | None, opened: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the sample's positions in ``row`` that are settled, and that are open."""
     mine = np.arange(*np.searchsorted(sample.row, [row, row + 1]))
-    wide, key = sample.wide[mine], sample.seed[mine]
+    wide, key = sample.wide[mine], sample.seed[mine] >> U(16)
     tag = (wide & U(0xFFFFFFFF)) | ((wide >> U(32)).astype(np.uint8).astype(U) << U(32))
 
     def among(blobs):
@@ -250,12 +251,12 @@ def _marked(sample: Sample, row: int, settled: list[bytes], opened: list[bytes])
             hit |= np.isin(key ^ mix64(tag), k ^ mix64(t))
         return hit
 
-    done = among(settled)
-    return mine[done], mine[among(opened) & ~done]
+    done = among(settled or [])
+    return mine[done], mine[among(opened or []) & ~done]
 
 
 def _window_parts(placed: DataFrame, parts: int, length: int, seed: int) -> DataFrame:
-    """Step 3: ranks of the windows of open positions, packed by fingerprint range."""
+    """Step 3: ranks of the windows of open positions, packed by fingerprint range; doc_ids as runs."""
 
     def run(batches):
         hasher = ByteHasher()
@@ -265,40 +266,46 @@ def _window_parts(placed: DataFrame, parts: int, length: int, seed: int) -> Data
             doc, rank = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             part = (rank >> U(32)) * U(parts) >> U(32)
             by = np.lexsort((doc, part))
+            doc, rank = doc[by], rank[by]
             cut = np.searchsorted(part[by], np.arange(parts + 1, dtype=U))
-            rows = [(i, doc[by][s:e].tobytes(), rank[by][s:e].tobytes()) for i, (s, e) in enumerate(zip(cut, cut[1:])) if e > s]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "docs", "ranks"])
+            rows = []
+            for i, (s, e) in enumerate(zip(cut, cut[1:])):
+                if e > s:
+                    ids, begin = np.unique(doc[s:e], return_index=True)
+                    rows.append((i, ids.tobytes(), np.diff([*begin, e - s]).astype(np.int32).tobytes(), rank[s:e].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3)], names=["part", "docs", "many", "ranks"])
 
         count = 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            settled, opened = batch.column(2), batch.column(3)
-            for lo, hi, data, at in text_chunks(batch.column(1), SCAN_BYTES):
-                s = Sample(data, at, hasher, length, seed)
-                for i in range(lo, hi):
-                    _, todo = _marked(s, i - lo, settled[i].as_py(), opened[i].as_py())
-                    if len(todo):
-                        rank = np.unique(s.windows(todo)[1])
-                        held.append((np.full(len(rank), ids[i], np.int64), rank))
-                        count += len(rank)
-                if count > 500_000:
+            ids, settled, opened = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
+            for base, _, texts in unpacked(batch.column(1)):
+                for lo, hi, data, at in text_chunks(texts, SCAN_BYTES):
+                    s = Sample(data, at, hasher, length, seed)
+                    for i in range(lo, hi):
+                        _, todo = _marked(s, i - lo, settled[base + i].as_py(), opened[base + i].as_py())
+                        if len(todo):
+                            rank = np.unique(s.windows(todo)[1])
+                            held.append((np.full(len(rank), ids[base + i], np.int64), rank))
+                            count += len(rank)
+                if count > 400_000:
                     yield flush()
                     held, count = [], 0
         if held:
             yield flush()
 
-    return placed.where(F.exists("open", lambda x: F.octet_length(x) > 0)).select("doc_id", "text", "settled", "open").mapInArrow(run, "part int, docs binary, ranks binary")
+    return placed.select("doc_id", "packed", "settled", "open").mapInArrow(run, "part int, docs binary, many binary, ranks binary")
 
 
 def _window_answers(windows: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         got: dict[int, list] = {}
         for batch in batches:
-            for part, docs, ranks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                got.setdefault(part, []).append((docs, ranks))
-        for rows in got.values():
-            doc = np.concatenate([np.frombuffer(d, np.int64) for d, _ in rows])
-            rank = np.concatenate([np.frombuffer(r, U) for _, r in rows])
+            for part, docs, many, ranks in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                got.setdefault(part, []).append((docs, many, ranks))
+        for part in list(got):
+            rows = got.pop(part)
+            doc = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(m, np.int32)) for d, m, _ in rows])
+            rank = np.concatenate([np.frombuffer(r, U) for _, _, r in rows])
             order, _, least = _own_minimum(rank, doc)
             doc, rank = doc[order], rank[order]
             late = doc > least
@@ -309,72 +316,76 @@ def _window_answers(windows: DataFrame, parts: int) -> DataFrame:
     return windows.repartition(parts, "part").mapInArrow(run, "doc_id long, repeated binary")
 
 
-def _cut(placed: DataFrame, length: int, seed: int) -> DataFrame:
-    """Last step: covered bytes go."""
+def _cut(placed: DataFrame, kept: list[str], length: int, seed: int) -> DataFrame:
+    """Last step: covered bytes go. Columns ``kept`` and doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text."""
+    n = len(kept)
+    names = [*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    key = kept.index("doc_id")
 
     def run(batches):
         hasher = ByteHasher()
         for batch in batches:
-            out = []
-            ids = batch.column(0).to_pylist()
-            for lo, hi, data, at in text_chunks(batch.column(1), SCAN_BYTES):
-                s = Sample(data, at, hasher, length, seed)
-                cover = np.zeros(len(data) + 1, dtype=np.int64)
-                for i in range(lo, hi):
-                    done, todo = _marked(s, i - lo, batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
-                    np.add.at(cover, s.lo[done], 1)
-                    np.add.at(cover, s.hi[done] + length, -1)
-                    again = batch.column(4)[i].as_py()
-                    if again and len(todo):
-                        start, rank = s.windows(todo)
-                        start = start[np.isin(rank, np.concatenate([np.frombuffer(b, U) for b in again]))]
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                for i in range(lo, hi):
-                    own, bytes_ = gone[at[i - lo] : at[i - lo + 1]], data[at[i - lo] : at[i - lo + 1]]
-                    kept = bytes_[~own].tobytes()
-                    edge = own.copy()
-                    edge[1:] &= ~own[:-1]
-                    out.append((ids[i], int(own.sum()), int(edge.sum()), hashlib.sha256(kept).hexdigest(), hashlib.sha256(bytes_.tobytes()).hexdigest(), kept.decode("utf-8", "ignore")))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kinds[j]) for j in range(6)], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "digest", "kept_text"])
-
-    return placed.select("doc_id", "text", "settled", "open", "repeated").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, digest string, kept_text string")
+            ids = batch.column(key)
+            settled, opened, repeated = (batch.column(n + j) for j in (1, 2, 3))
+            for base, end, texts in unpacked(batch.column(n)):
+                out = []
+                for lo, hi, data, at in text_chunks(texts, SCAN_BYTES):
+                    todo_rows = [i for i in range(lo, hi) if ids[base + i].is_valid and (settled[base + i].is_valid or opened[base + i].is_valid)]
+                    cover = np.zeros(len(data) + 1, dtype=np.int64)
+                    s = Sample(data, at, hasher, length, seed) if todo_rows else None
+                    for i in todo_rows:
+                        done, todo = _marked(s, i - lo, settled[base + i].as_py(), opened[base + i].as_py())
+                        np.add.at(cover, s.lo[done], 1)
+                        np.add.at(cover, s.hi[done] + length, -1)
+                        again = repeated[base + i].as_py()
+                        if again and len(todo):
+                            start, rank = s.windows(todo)
+                            start = start[np.isin(rank, np.concatenate([np.frombuffer(b, U) for b in again]))]
+                            np.add.at(cover, start, 1)
+                            np.add.at(cover, start + length, -1)
+                    gone = np.cumsum(cover[:-1]) > 0
+                    for i in range(lo, hi):
+                        own, text = gone[at[i - lo] : at[i - lo + 1]], data[at[i - lo] : at[i - lo + 1]]
+                        left = text[~own].tobytes()
+                        edge = own.copy()
+                        edge[1:] &= ~own[:-1]
+                        out.append((len(text), int(own.sum()), int(edge.sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+                yield pa.RecordBatch.from_arrays([c.slice(base, end - base) for c in batch.columns[:n]] + [pa.array([o[j] for o in out], kinds[j]) for j in range(5)], names=names)
+
+    added = zip(names[n:], (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()))
+    schema = T.StructType([*placed.select(*kept).schema.fields, *(T.StructField(name, kind) for name, kind in added)])
+    return placed.select(*kept, "packed", "settled", "open", "repeated").mapInArrow(run, schema)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id, digest (of the text), n_removed, n_spans, kept_sha256, kept_text of rows that may lose a part.
+    """Rows of ``docs`` without text, with n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     In kept_text, characters that lose some of their bytes are left out whole.
     """
-    spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.octet_length("text") >= length)
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    others = [c for c in docs.columns if c not in ("text", "doc_id")]
+    rows = docs.select(F.col("doc_id").cast("long"), *others, F.col("text").cast("string"))
+    texts = rows.select("doc_id", "text").where("doc_id is not null").where(F.octet_length("text") >= length)
     found = _answers(_scan(texts, PARTS_PER_PARTITION * parts, length, seed), parts)
     found = stored(found.groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("open").alias("open")), "repeats-found")
-    placed = stored(texts.join(found.hint("merge"), "doc_id"), "repeats-placed")
-    again = _window_answers(_window_parts(placed, PARTS_PER_PARTITION * parts, length, seed), parts)
-    again = again.groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated"))
-    return _cut(placed.join(again.hint("merge"), "doc_id", "left"), length, seed)
+    todo = found.where(F.exists("open", lambda x: F.octet_length(x) > 0))
+    windows = _window_parts(packed_texts(texts).join(todo.hint("merge"), "doc_id"), PARTS_PER_PARTITION * parts, length, seed)
+    again = _window_answers(windows, parts).groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated"))
+    again = stored(again, "repeats-windows")
+    placed = packed_texts(rows).join(found.hint("merge"), "doc_id", "left").join(again.hint("merge"), "doc_id", "left")
+    return _cut(placed, ["doc_id", *others], length, seed)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = documents(spark, sf_dir)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
-    cut = deduplicated(docs).drop("kept_text").distinct()
-    return rows.join(cut, ["doc_id", "digest"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256")
-    )
+    return deduplicated(documents(spark, sf_dir).select("doc_id", "text")).drop("kept_text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the repeated bytes out of the texts; a document that loses all of its text goes. n_chars follows the text."""
-    cut = stored(deduplicated(docs).where("n_removed > 0").select("doc_id", "digest", "kept_text").distinct(), "repeats-kept")
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    out = docs.withColumn("digest", digest).join(cut, ["doc_id", "digest"], "left").where("kept_text is null or kept_text <> ''")
-    n_chars = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")) if "n_chars" in docs.columns else F.lit(0)
-    changed = {"text": F.coalesce("kept_text", "text").alias("text"), "n_chars": n_chars.cast("long").alias("n_chars")}
+    out = deduplicated(docs).where("n_removed = 0 or kept_text <> ''")
+    changed = {"text": F.when(F.col("n_removed") >= 0, F.col("kept_text")).alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return out.select(*[changed.get(c, F.col(c)) for c in docs.columns])
