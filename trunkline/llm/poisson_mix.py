@@ -39,8 +39,9 @@ def source_rates(docs: DataFrame, weights: dict | None = None, temperature: floa
     if weights is None:
         share = F.pow(F.col("n").cast("double"), F.lit(temperature))
     else:
-        pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        share = F.coalesce(F.element_at(F.create_map(*pairs), F.col("source")), F.lit(0.0)) if pairs else F.lit(0.0)
+        share = F.lit(0.0)
+        for name, weight in weights.items():
+            share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(share)
     sized = stored(sizes.withColumn("share", share), "mix-sizes")
     total = sized.agg(F.sum("n").alias("all_n"), F.sum("share").alias("all_share"))
     rate = F.round(F.when(F.col("all_share") > 0, F.col("share") / F.col("all_share") * F.col("all_n") / F.col("n")).otherwise(0.0), 6)
