@@ -42,12 +42,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h"}
 LEET_COST, GAP_COST, RUN_COST = -1.5, -0.2, -0.3
 WORD = re.compile(r"[^\W\d_]+")
-SUSPECT = re.compile(
-    r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![^\W_])"  # single letters set apart
-    r"|[^\W_]*[^\W\d_]?[0-9@$!|+(*#]+[^\W\d_][\w@$!|+(*#]*"  # signs before letters
-    r"|[^\W\d_]+[0-9@$](?![\w@$])"  # a sign at the end
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # runs
-)
+#: Single letters set apart, in a whole text.
+APART = re.compile(r"\b[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]\b){2,}")
+#: Within a token: signs before letters, a sign at the end, runs.
+SUSPECT = re.compile(r"[^\W_]*[0-9@$!|+(*#]+[^\W\d_][\w@$!|+(*#]*|[^\W\d_]+[0-9@$](?![\w@$])|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+REMEMBERED = 300_000
 #: Longer spans are keys, hashes or encoded data, not words; no lattice word is longer.
 LONGEST_SPAN = 48
 
@@ -146,23 +145,31 @@ def decode(span: str, model: np.ndarray) -> str:
 
 
 class Restorer:
-    """Distinct words of a text, with obfuscated spans restored; remembers what it has decoded."""
+    """Distinct words of a text, with obfuscated spans restored; remembers the tokens that it has seen."""
 
     def __init__(self, model: np.ndarray) -> None:
         self.model, self.known = model, {}
 
+    def _restored(self, span: str) -> list[str]:
+        return [] if len(span) > LONGEST_SPAN else [decode(span, self.model)]
+
+    def _token(self, token: str) -> tuple[str, ...]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        got = WORD.findall(token)
+        for m in SUSPECT.finditer(token) if len(token) < 1_000 or not token.isalnum() else ():
+            got += self._restored(m.group())
+        self.known[token] = tuple(got)
+        return self.known[token]
+
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out = set(WORD.findall(low))
-        for m in SUSPECT.finditer(low):
-            span = m.group()
-            if len(span) > LONGEST_SPAN:
-                continue
-            if span not in self.known:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[span] = decode(span, self.model)
-            out.add(self.known[span])
+        out: set[str] = set()
+        for token in set(low.split()):
+            got = self.known.get(token)
+            out.update(self._token(token) if got is None else got)
+        for m in APART.finditer(low):
+            out.update(self._restored(m.group()))
         return out
 
 
