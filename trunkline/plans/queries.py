@@ -13,9 +13,11 @@ from trunkline.functions import masking as M
 from trunkline.functions import text as T
 from trunkline.operators import browse as B
 from trunkline.operators.query import LogQuery, filter_exact_level, filter_query, filter_thresholds, search_display
+from trunkline.operators.rotation import retained, rotated
 from trunkline.schema import LEVELS, events_as_log
 from trunkline.sources import trunklog
 from trunkline.sources.plaintext import assemble, restored
+from trunkline.sources.protobuf import decoded_records, encoded_records
 
 BASE_SQL = """WITH lg AS (SELECT epoch_us(ts) // 1000 AS timestamp_millis,
   CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 END AS level_id,
@@ -307,3 +309,41 @@ def pushed_window(spark, sf_dir):
     """A window that no trunk holds: every trunk is pruned and nothing is read."""
     rows = spark.read.format("trunklog").load(_round_trip(spark, sf_dir)).where("record_index >= 1000000000")
     return rows.groupBy((F.col("record_index") % 1_000_000).alias("n")).agg(F.count("*").alias("rows"))
+
+
+# ---- rotation
+
+_ROTATE_BYTES = 4096
+#: Segment boundaries by jumps over running totals; ``next`` is where the following segment begins.
+_SEGMENTS = """(WITH RECURSIVE s AS (
+  SELECT target, record_index, sum(strlen(message) + 1) OVER (PARTITION BY target ORDER BY record_index)::BIGINT AS total
+  FROM (SELECT *, 'logs/app-' || lower(level) || '.log' AS target FROM lg)
+), seg AS (
+  SELECT DISTINCT target, 0::BIGINT AS segment, 0::BIGINT AS base FROM s
+  UNION ALL
+  SELECT g.target, g.segment + 1, {next} FROM seg g JOIN s ON s.target = g.target AND s.total > g.base
+  GROUP BY g.target, g.segment, g.base HAVING max(s.total) > {next}
+) SELECT s.record_index, s.target, max(g.segment) AS segment FROM s JOIN seg g ON g.target = s.target AND g.base < s.total GROUP BY ALL)"""
+_BEFORE = _SEGMENTS.format(next=f"greatest(min(s.total), max(CASE WHEN s.total <= g.base + {_ROTATE_BYTES} THEN s.total END))")
+_AFTER = _SEGMENTS.format(next=f"min(CASE WHEN s.total > g.base + {_ROTATE_BYTES} THEN s.total END)")
+
+
+def _segmented(d: DataFrame, after: bool = False) -> DataFrame:
+    sized = d.select(M.split_by_level_path("logs/app.log", lvl()).alias("target"), "record_index", (F.octet_length("message") + 1).alias("size"))
+    return rotated(sized, "target", "size", "record_index", _ROTATE_BYTES, after).select("record_index", "target", "segment")
+
+
+simple("rotate_text", _segmented, f"SELECT record_index, target, segment FROM {_BEFORE}")
+simple("rotate_tog", lambda d: _segmented(d, after=True), f"SELECT record_index, target, segment FROM {_AFTER}")
+simple("archive_shift", lambda d: retained(_segmented(d), "target", 2).select("record_index", "target", "archive"),
+       f"SELECT record_index, target, nullif(age, 0) AS archive FROM (SELECT *, max(segment) OVER (PARTITION BY target) - segment AS age FROM {_BEFORE}) WHERE age <= 2")
+
+
+# ---- protobuf
+
+
+@query("proto_record", "SELECT timestamp_millis, level_id::INT AS level_id, 'events' AS source, context, message FROM lg")
+def proto_record(spark, sf_dir):
+    """Records to messages and back."""
+    log = events_as_log(spark, sf_dir).withColumn("attributes", F.create_map(F.lit("format"), F.lit("trunk")))
+    return decoded_records(encoded_records(log)).drop("attributes")

@@ -2,7 +2,8 @@
 
 Options: ``path`` (a file, or a folder of .tog files), ``mode`` permissive | index | strict,
 ``includeBuffer`` (the sidecar's records after the trunks, default true), and for writing
-``compression``, ``trunkSizeKb``. Bounds on record_index and trunk_index prune trunks before
+``compression``, ``trunkSizeKb``, ``prefix`` (of the file names; overwriting replaces only files
+with it, so a repeated write of one batch leaves one copy). Bounds on record_index and trunk_index prune trunks before
 they are read; Spark evaluates every filter again. Writing makes one file a task, each with its
 own header, so output scales with tasks; sort and partition the rows before.
 """
@@ -123,6 +124,7 @@ class TrunkWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = local(options["path"]), overwrite
         self.codec = codec_by_name(options.get("compression", "gzip"))
+        self.prefix = options.get("prefix", "")
         self.kb = min(65_535, max(1, int(options.get("trunksizekb", options.get("trunkSizeKb", DEFAULT_TRUNK_KB)))))
 
     def write(self, iterator) -> Written:
@@ -142,14 +144,14 @@ class TrunkWriter(DataSourceArrowWriter):
         if not count:
             return Written("", 0)
         os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.tog")
+        name = os.path.join(self.path, f"{self.prefix}part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.tog")
         with open(name + ".pending", "wb") as f:
             f.write(data)
         return Written(name, count)
 
     def commit(self, messages) -> None:
         if self.overwrite and os.path.isdir(self.path):
-            for f in glob.glob(os.path.join(glob.escape(self.path), "*.tog")):
+            for f in glob.glob(os.path.join(glob.escape(self.path), glob.escape(self.prefix) + "*.tog")):
                 os.remove(f)
         for m in messages:
             if m and m.file:
@@ -172,6 +174,11 @@ class TrunkLog(DataSource):
     def reader(self, schema: StructType) -> TrunkReader:
         return TrunkReader(dict(self.options))
 
+    def streamReader(self, schema: StructType):
+        from trunkline.streaming.tail import TailReader
+
+        return TailReader(dict(self.options))
+
     def writer(self, schema: StructType, overwrite: bool) -> TrunkWriter:
         return TrunkWriter(dict(self.options), overwrite)
 
