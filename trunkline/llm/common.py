@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,40 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+#: Bytes of an Arrow batch of whole texts, unless the session sets its own: a batch stands in Python and outside the JVM's heap.
+BATCH_BYTES = "8m"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES where the session leaves the setting alone (its default is 64 MB)."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators otherwise keep a worker's peak for as long as it waits for tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, giving memory back when its task ends."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 # ---------------------------------------------------------------- byte hashing
 
 
@@ -127,7 +163,7 @@ def packed_texts(frame: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("packed", T.BinaryType())])
-    return frame.select(*kept.columns, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return frame.select(*kept.columns, F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def unpacked(column: pa.Array, piece: int = 8 << 20) -> Iterator[tuple[int, int, pa.Array]]:

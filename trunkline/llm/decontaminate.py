@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, documents, shingle_sets, stored
+from trunkline.llm.common import ByteHasher, documents, lean, shingle_sets, stored
 
 SHINGLE_WORDS = 5
 EXACT_BELOW = 24
@@ -101,7 +101,7 @@ def _broadcast_search(docs: DataFrame, items: list[tuple[int, str]], words: int)
                         out.append((doc_id, ids[item], len(sets[item]), n))
             yield _record(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), FOUND)
 
 
 def _keys(frame: DataFrame, words: int, item: bool) -> DataFrame:
@@ -123,7 +123,7 @@ def _keys(frame: DataFrame, words: int, item: bool) -> DataFrame:
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]), pa.int64()) for c in cols], names=["id", "klass", "hash"])
 
-    return frame.mapInArrow(run, "id long, klass long, hash long")
+    return frame.mapInArrow(lean(run), "id long, klass long, hash long")
 
 
 def _joined_search(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _joined_search(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
                     out.append((doc_id, item_id, len(item), n))
             yield _record(out)
 
-    return both.mapInArrow(run, FOUND)
+    return both.mapInArrow(lean(run), FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = SHINGLE_WORDS, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, connected_components, documents, grouped_frames, mix64, packed_texts, shingle_sets, stored, unpacked
+from trunkline.llm.common import ByteHasher, connected_components, documents, grouped_frames, lean, mix64, packed_texts, shingle_sets, small_batches, stored, unpacked
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 60, 4
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS, ro
                     names=["doc_id", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SKETCH)
 
 
 class _Forest:
@@ -207,11 +207,12 @@ def _block_links(rows: DataFrame, words: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     dealt = rows.select("task", "side", "rep", "component", "packed").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, ...)."""
+    small_batches(docs.sparkSession)
     sketch = stored(sketches(docs, words), "jaccard-sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")

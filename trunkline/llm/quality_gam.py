@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, documents, stored, text_chunks, word_hashes
+from trunkline.llm.common import ByteHasher, documents, lean, stored, text_chunks, word_hashes
 
 SAMPLE_ROWS = 20_000
 BINS = 32
@@ -212,7 +212,7 @@ def fitted(docs: DataFrame, labels: DataFrame, training: F.Column, rows: int = S
             x = text_features(batch.column(1), hasher)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = sorted(joined.mapInArrow(run, "doc_id long, label int, x array<double>").collect())
+    got = sorted(joined.mapInArrow(lean(run), "doc_id long, label int, x array<double>").collect())
     x = np.array([r[2] for r in got], dtype=float).reshape(len(got), len(FEATURES))
     return Gam(x, np.array([r[1] for r in got], dtype=float))
 
@@ -225,7 +225,7 @@ def scored(docs: DataFrame, model: Gam) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(text_features(batch.column(1), hasher)))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -248,4 +248,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(text_features(batch.column(at).cast(pa.string()), hasher)) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trunkline.llm.common import ByteHasher, documents, mix64, packed_texts, stored, text_chunks, unpacked
+from trunkline.llm.common import ByteHasher, documents, give_back, lean, mix64, packed_texts, small_batches, stored, text_chunks, unpacked
 
 LENGTH = 50
 SEED = 20
@@ -166,10 +166,11 @@ def _scan(docs: DataFrame, parts: int, length: int, seed: int) -> DataFrame:
                 if size >= FLUSH_BYTES and held:
                     yield flush()
                     held, size = [], 0
+                    give_back()
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, docs binary, many binary, seeds binary, wides binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "part int, docs binary, many binary, seeds binary, wides binary")
 
 
 def _answers(scanned: DataFrame, parts: int) -> DataFrame:
@@ -232,8 +233,9 @@ def _answers(scanned: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in ride], pa.int64()), pa.array([r[1] for r in ride], pa.binary()), pa.array([b""] * len(ride), pa.binary())], names=["doc_id", "settled", "open"])
         for part in list(got):
             yield emit(got.pop(part))
+            give_back()
 
-    return scanned.repartition(parts, "part").mapInArrow(run, ANSWER)
+    return scanned.repartition(parts, "part").mapInArrow(lean(run), ANSWER)
 
 
 def _marked(sample: Sample, row: int, settled: list[bytes] | None, opened: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +294,7 @@ def _window_parts(placed: DataFrame, parts: int, length: int, seed: int) -> Data
         if held:
             yield flush()
 
-    return placed.select("doc_id", "packed", "settled", "open").mapInArrow(run, "part int, docs binary, many binary, ranks binary")
+    return placed.select("doc_id", "packed", "settled", "open").mapInArrow(lean(run), "part int, docs binary, many binary, ranks binary")
 
 
 def _window_answers(windows: DataFrame, parts: int) -> DataFrame:
@@ -312,7 +314,7 @@ def _window_answers(windows: DataFrame, parts: int) -> DataFrame:
             ids, (blobs,) = _packed(doc[late][by], rank[late][by])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "repeated"])
 
-    return windows.repartition(parts, "part").mapInArrow(run, "doc_id long, repeated binary")
+    return windows.repartition(parts, "part").mapInArrow(lean(run), "doc_id long, repeated binary")
 
 
 def _cut(placed: DataFrame, kept: list[str], length: int, seed: int) -> DataFrame:
@@ -354,7 +356,7 @@ def _cut(placed: DataFrame, kept: list[str], length: int, seed: int) -> DataFram
 
     added = zip(names[n:], (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()))
     schema = T.StructType([*placed.select(*kept).schema.fields, *(T.StructField(name, kind) for name, kind in added)])
-    return placed.select(*kept, "packed", "settled", "open", "repeated").mapInArrow(run, schema)
+    return placed.select(*kept, "packed", "settled", "open", "repeated").mapInArrow(lean(run), schema)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -362,6 +364,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
 
     In kept_text, characters that lose some of their bytes are left out whole.
     """
+    small_batches(docs.sparkSession)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     others = [c for c in docs.columns if c not in ("text", "doc_id")]
     rows = docs.select(F.col("doc_id").cast("long"), *others, F.col("text").cast("string"))
