@@ -50,6 +50,22 @@ def test_jaccard(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_links_pairs_among_texts_that_share_their_words(spark):
+    """Each common bucket of a linked pair has some other smallest member, a different one nearly every time."""
+    rng = random.Random(7)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for p in range(3):
+        common = text(200)
+        rows += [(p * 10_000 + i, " ".join(rng.sample(common, 60))) for i in range(1000)]
+        rows += [(p * 10_000 + 5000 + i, " ".join(common + text(27))) for i in (0, 1)]
+    sets = {k: set(t.split()) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b < a + 10_000 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert links == [(p * 10_000 + 5000, p * 10_000 + 5001) for p in range(3)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: dict((b, a) for a, b in links).get(k, k) for k in sets}
+
+
 def test_tree_links_equal_brute_force():
     import numpy as np
 

@@ -5,10 +5,11 @@ each document gets the smallest doc_id that it reaches by links.
 
 1. One pass makes every document's shingle set, its digest and its MinHash band keys.
    Equal sets are one class from here on; only the class's smallest doc_id goes on.
-2. Classes that agree in bands with the smallest class of a band form families. With 60 bands
-   of 4, a pair at similarity 3/4 misses all bands with probability 1.2e-10; a family edge
-   needs 3 common bands with its pivot (miss under 1e-7), so that passages shared by
-   otherwise different texts don't chain families together.
+2. Every class of a bucket (equal keys of one band) is linked with the bucket's smallest class;
+   linked classes form families. So two classes with any common band are in one family, whatever
+   else is in their buckets. With 120 bands of 7, a pair at similarity 3/4 has no common band with
+   probability 3.4e-8; bands of 7 keep texts that only share passages mostly apart (a pair at
+   similarity 0.2 has a common band with probability 0.002).
 3. Within a family a signature tree decides exactly. Blocks of at most about ``BLOCK`` texts of
    like size are the subtrees; each block, with the family's pivot, is joined with itself.
    Tree nodes hold the OR of their members' shingle bitmaps, the range of set sizes and the
@@ -36,8 +37,7 @@ from pyspark.sql import functions as F
 from trunkline.llm.common import ByteHasher, connected_components, documents, grouped_frames, lean, mix64, packed_texts, shingle_sets, small_batches, stored, unpacked
 
 SHINGLE_WORDS = 5
-BANDS, ROWS = 60, 4
-MIN_BANDS = 3
+BANDS, ROWS = 120, 7
 BLOCK = 128
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
@@ -221,8 +221,8 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     keys = first.select("rep", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     candidates = (
-        keys.join(pivots.hint("merge"), "key").where("rep <> pivot").groupBy("rep", "pivot").count().where(F.col("count") >= MIN_BANDS)
-        .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        keys.join(pivots.hint("merge"), "key").where("rep <> pivot")
+        .select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     )
     families = stored(connected_components(candidates, "jaccard-family").select(F.col("id").alias("rep"), F.col("label").alias("family")), "jaccard-families")
 
