@@ -198,3 +198,12 @@ def test_classifiers(spark, empty):
     assert toxicity.toxicity(empty, table.limit(0), train).count() == 0
     plain = toxicity.log_model(toxicity.word_trigrams(["idiot", "stupid"] * 50))
     assert toxicity.decode("1d10t", plain) == "idiot" and toxicity.decode("s t u p i d", plain) == "stupid"
+
+
+def test_letters_set_apart():
+    restorer = toxicity.Restorer(toxicity.log_model(toxicity.word_trigrams(["idiot", "stupid"] * 50)))
+    for text in ("s_t_u_p_i_d", "xx s__t__u__p__i__d.", "s t u p i d !", "s t u p 1 d", "$ t u p ! d", "s t_u-p.i d", "s  t u_p i  d", "5-t-u-p-1-d", "s t * p i d", "s*t*u*p*i*d", "s.t.u.u.u.p.i.d"):
+        assert "stupid" in restorer.words(text), text
+    for text in ("1 d 1 o t", "i_d_i_o_t", "an 1_d_1_0_t", "1 d 1 0 7"):
+        assert "idiot" in restorer.words(text), text
+    assert restorer.words("xs t u p") & {"stup", "xstup"} == set() and restorer.words("1 2 3 + 4") == set()

@@ -42,8 +42,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h"}
 LEET_COST, GAP_COST, RUN_COST = -1.5, -0.2, -0.3
 WORD = re.compile(r"[^\W\d_]+")
-#: Single letters set apart, in a whole text.
-APART = re.compile(r"\b[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]\b){2,}")
+#: Single letters or signs for them set apart, in a whole text; a star is a separator unless separators stand around it. Not \b: "_" is a word character.
+APART = re.compile(r"(?:(?<![^\W_])[^\W_]|[@$!|+(#])(?:[ .\-_*]{1,2}(?:[^\W_](?![^\W_])|[@$!|+(#](?![^\W_])|(?<=[ .\-_])\*(?=[ .\-_]))){2,}")
+LETTER = re.compile(r"[^\W\d_]")
 #: Within a token: signs before letters, a sign at the end, runs.
 SUSPECT = re.compile(r"[^\W_]*[0-9@$!|+(*#]+[^\W\d_][\w@$!|+(*#]*|[^\W\d_]+[0-9@$](?![\w@$])|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 REMEMBERED = 300_000
@@ -111,13 +112,14 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     """For each position the outputs (letter or nothing) with their channel costs."""
     out: list[list[tuple[str, float]]] = []
     last, run = "", 0
-    apart = bool(re.fullmatch(r"(?:[^\W\d_][ .\-_*]{1,2})+[^\W\d_]", span))
-    for ch in span:
+    apart = bool(APART.fullmatch(span))
+    for i, ch in enumerate(span):
+        if apart and ch in " .-_*" and not (ch == "*" and span[i - 1] in " .-_" and span[i + 1 : i + 2] in " .-_"):
+            out.append([("", GAP_COST)])
+            continue
         run = run + 1 if ch == last else 1
         last = ch
-        if apart and ch in " .-_*":
-            out.append([("", GAP_COST)])
-        elif ch in LEET:
+        if ch in LEET:
             out.append([(x, LEET_COST) for x in LEET[ch]] + ([("", LEET_COST)] if run > 1 or ch in "*!.|" else []))
         elif ch.isalpha():
             out.append([(ch, 0.0)] if run == 1 else [("", RUN_COST)] if run > 2 else [(ch, RUN_COST), ("", RUN_COST)])
@@ -169,7 +171,9 @@ class Restorer:
             got = self.known.get(token)
             out.update(self._token(token) if got is None else got)
         for m in APART.finditer(low):
-            out.update(self._restored(m.group()))
+            if LETTER.search(m.group()):
+                for span in {m.group(), m.group().strip(" .-_*@$!|+(#")}:  # signs at the ends may be punctuation
+                    out.update(self._restored(span))
         return out
 
 
