@@ -207,3 +207,15 @@ def test_letters_set_apart():
     for text in ("1 d 1 o t", "i_d_i_o_t", "an 1_d_1_0_t", "1 d 1 0 7"):
         assert "idiot" in restorer.words(text), text
     assert restorer.words("xs t u p") & {"stup", "xstup"} == set() and restorer.words("1 2 3 + 4") == set()
+
+
+def test_long_spans():
+    words = "you are a stupid idiot go away now please and do not come back here".split()
+    restorer = toxicity.Restorer(toxicity.log_model(toxicity.word_trigrams(words * 50)))
+    spaced = " ".join("youareastupididiotgoaway")
+    for text in (spaced, "_".join("youareastupididiotgoaway"), "y o u  a r e  a  s t u p i d  i d i o t  g o  a w a y", " ".join("youareastup1d1d10tgoaway"), " ".join([spaced] * 50)):
+        assert {"stupid", "idiot"} <= restorer.words(text), text
+    for text in ("st" + 60 * "u" + "pid", "st" + 3000 * "u" + "pid", 40 * "s" + 40 * "t" + 40 * "u" + "pid", "".join(c * 20 for c in "stupid"), "st" + 300 * "u" + "p1d", 60 * "path/" + "a_stup1d"):
+        assert "stupid" in restorer.words(text), text
+    long = "".join(random.Random(3).choices("0123456789abcdef", k=100_000))
+    assert len(max(restorer.words(long + " a" + "123" * 30_000), key=len)) > 1000

@@ -2,7 +2,7 @@
 
 1. A character trigram model is counted over all texts (bounded by its alphabet, not by the input).
 2. Spans that may be obfuscated become lattices: a leetspeak sign may stand for the letters that
-   it imitates, separators between single letters may vanish, runs of a letter may shrink to
+   it imitates, separators between single letters may vanish or end a word, runs of a letter may shrink to
    one or two. Viterbi decoding under the character model picks the restored word. Plain words
    have one path, themselves.
 3. Words of restored training texts (near copies count once), and their first 4 to 6 letters, get log odds of toxic against
@@ -45,11 +45,17 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Single letters or signs for them set apart, in a whole text; a star is a separator unless separators stand around it. Not \b: "_" is a word character.
 APART = re.compile(r"(?:(?<![^\W_])[^\W_]|[@$!|+(#])(?:[ .\-_*]{1,2}(?:[^\W_](?![^\W_])|[@$!|+(#](?![^\W_])|(?<=[ .\-_])\*(?=[ .\-_]))){2,}")
 LETTER = re.compile(r"[^\W\d_]")
+GAP = frozenset(" .-_*")
+NARROW = re.compile(r"[^ .\-_*][ .\-_*][^ .\-_*]")
 #: Within a token: signs before letters, a sign at the end, runs.
 SUSPECT = re.compile(r"[^\W_]*[0-9@$!|+(*#]+[^\W\d_][\w@$!|+(*#]*|[^\W\d_]+[0-9@$](?![\w@$])|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 REMEMBERED = 300_000
-#: Longer spans are keys, hashes or encoded data, not words; no lattice word is longer.
-LONGEST_SPAN = 48
+#: SUSPECT takes time in the square of a token's length or worse; in longer tokens whole pieces of letters and signs count as suspect.
+LONG_TOKEN = 200
+PIECE = re.compile(r"[\w@$!|+(*#]+")
+OBFUSCATED = re.compile(r"[0-9@$!|+(*#]|([^\W\d_])\1\1")
+#: More than three equal characters decode as three.
+RUN = re.compile(r"(.)\1{3,}", re.S)
 
 
 def _codes() -> np.ndarray:
@@ -108,14 +114,20 @@ def log_model(corpus: np.ndarray, lexicon: np.ndarray | None = None, share: floa
     return np.log(p)
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """For each position the outputs (letter or nothing) with their channel costs."""
+def lattice(span: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+    """For each position the outputs (letter or nothing) with their channel costs.
+
+    ``breaks``: words may end (" ") at any gap between letters set apart, and do at a wide one if others are narrow.
+    """
     out: list[list[tuple[str, float]]] = []
     last, run = "", 0
     apart = bool(APART.fullmatch(span))
+    narrow = bool(NARROW.search(span))
     for i, ch in enumerate(span):
         if apart and ch in " .-_*" and not (ch == "*" and span[i - 1] in " .-_" and span[i + 1 : i + 2] in " .-_"):
-            out.append([("", GAP_COST)])
+            ends = breaks and span[i + 1 : i + 2] not in GAP  # the last separator of its gap
+            wide = narrow and span[i - 1] in GAP and not (span[i - 1] == "*" and i > 1 and span[i - 2] in GAP)
+            out.append([(" ", GAP_COST)] if ends and wide else [("", GAP_COST), (" ", GAP_COST)] if ends else [("", GAP_COST)])
             continue
         run = run + 1 if ch == last else 1
         last = ch
@@ -128,22 +140,28 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(span: str, model: np.ndarray) -> str:
-    """Best path through the lattice under the character model, from word start to word end."""
-    paths = {(0, 0): (0.0, "")}
-    for options in lattice(span):
+def decode(span: str, model: np.ndarray, breaks: bool = False) -> str:
+    """Best path through the lattice under the character model, from word start to word end; linear in the span's length."""
+    paths: dict = {(0, 0): (0.0, None)}
+    for options in lattice(span, breaks):
         grown: dict = {}
         for (x, y), (score, text) in paths.items():
             for letter, cost in options:
-                if letter:
+                if letter == " ":
+                    state, value = (0, 0), score + cost - 1.0 + float(model[x, y, 0])
+                elif letter:
                     z = ord(letter) - 96 if "a" <= letter <= "z" else 27
                     state, value = (y, z), score + cost + float(model[x, y, z])
                 else:
                     state, value = (x, y), score + cost - 1.0
                 if state not in grown or value > grown[state][0]:
-                    grown[state] = (value, text + letter)
+                    grown[state] = (value, (text, letter) if letter else text)
         paths = grown
-    return max(((score + float(model[x, y, 0]), text) for (x, y), (score, text) in paths.items()), default=(0.0, ""))[1]
+    (_, text), out = max(((score + float(model[x, y, 0]), text) for (x, y), (score, text) in paths.items()), key=lambda p: p[0]), []
+    while text:
+        text, letter = text
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -153,14 +171,22 @@ class Restorer:
         self.model, self.known = model, {}
 
     def _restored(self, span: str) -> list[str]:
-        return [] if len(span) > LONGEST_SPAN else [decode(span, self.model)]
+        whole = decode(span, self.model)
+        return [whole, *decode(span, self.model, breaks=True).split()] if APART.fullmatch(span) else [whole]
+
+    def _spans(self, token: str) -> list[str]:
+        token = RUN.sub(r"\1\1\1", token)
+        if len(token) < LONG_TOKEN:
+            return [m.group() for m in SUSPECT.finditer(token)]
+        pieces = {part for piece in PIECE.findall(token) for part in (piece, *piece.split("_"))}
+        return [piece for piece in pieces if LETTER.search(piece) and OBFUSCATED.search(piece)]
 
     def _token(self, token: str) -> tuple[str, ...]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         got = WORD.findall(token)
-        for m in SUSPECT.finditer(token) if len(token) < 1_000 or not token.isalnum() else ():
-            got += self._restored(m.group())
+        for span in self._spans(token):
+            got += self._restored(span)
         self.known[token] = tuple(got)
         return self.known[token]
 
