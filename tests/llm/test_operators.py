@@ -219,3 +219,13 @@ def test_long_spans():
         assert "stupid" in restorer.words(text), text
     long = "".join(random.Random(3).choices("0123456789abcdef", k=100_000))
     assert len(max(restorer.words(long + " a" + "123" * 30_000), key=len)) > 1000
+
+
+def test_only_near_copies_count_once(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    apart = [(i, "one line that all texts share " + " ".join(word() for _ in range(40)), i % 2) for i in range(100)]
+    base = " ".join(word() for _ in range(200))
+    copies = [(200 + i, f"{base} {i}", int(i >= 10)) for i in range(20)] + [(300 + i, None, 0) for i in range(3)]
+    joined = spark.createDataFrame(apart + copies, "doc_id long, text string, label int")
+    assert sorted(toxicity._one_of_near_copies(joined)) == [*range(100), 200, 210, 300]

@@ -5,7 +5,7 @@
    it imitates, separators between single letters may vanish or end a word, runs of a letter may shrink to
    one or two. Viterbi decoding under the character model picks the restored word. Plain words
    have one path, themselves.
-3. Words of restored training texts (near copies count once), and their first 4 to 6 letters, get log odds of toxic against
+3. Words of restored training texts (near copies of one label count once), and their first 4 to 6 letters, get log odds of toxic against
    other documents, less 1.5 standard errors; the strong ones are the lexicon, whose own
    trigrams join the character model for the decoding that counts.
 4. A document's score is a logistic function, fitted on training rows, of the number of its
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, documents, text_chunks, word_hashes
+from trunkline.llm.common import documents, stored, text_chunks
+from trunkline.llm.jaccard_join import jaccard_components
 from trunkline.llm.quality_gam import held_out, labelled_sample
 
 SAMPLE_ROWS = 20_000
@@ -204,21 +205,11 @@ class Restorer:
 
 
 def _one_of_near_copies(joined: DataFrame) -> list[int]:
-    """The smallest doc_id for each smallest word hash: near copies share it and count once. At most the sample's rows."""
-
-    def run(batches):
-        hasher = ByteHasher()
-        for batch in batches:
-            least = []
-            for lo, hi, data, at in text_chunks(batch.column(1)):
-                words, row = word_hashes(data, at, hasher)
-                low = np.full(hi - lo, np.iinfo(np.uint64).max, dtype=np.uint64)
-                np.minimum.at(low, row, words)
-                least.append(low)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*least, np.zeros(0, np.uint64)]).view(np.int64))], names=["doc_id", "least"])
-
-    got = joined.select("doc_id", "text").mapInArrow(run, "doc_id long, least long")
-    return [r[0] for r in got.groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id").collect()]
+    """The smallest doc_id of each label in each component of near copies (op8's links: Jaccard of shingles at least 3/4). At most the sample's rows."""
+    joined = stored(joined.select("doc_id", "text", "label"), "toxicity-learnt")
+    alike = jaccard_components(joined).where("doc_id is not null").select("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
+    got = alike.distinct().join(joined.select("doc_id", "label").distinct(), "doc_id")
+    return [r[0] for r in got.groupBy("component_id", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().collect()]
 
 
 def _word_rows(joined: DataFrame, model: np.ndarray) -> DataFrame:
