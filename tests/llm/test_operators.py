@@ -229,3 +229,16 @@ def test_only_near_copies_count_once(spark):
     copies = [(200 + i, f"{base} {i}", int(i >= 10)) for i in range(20)] + [(300 + i, None, 0) for i in range(3)]
     joined = spark.createDataFrame(apart + copies, "doc_id long, text string, label int")
     assert sorted(toxicity._one_of_near_copies(joined)) == [*range(100), 200, 210, 300]
+
+
+def test_decontaminate_without_ids(spark, tmp_path):
+    words = [f"w{i}" for i in range(100)]
+    bad, good = " ".join(words[:60]), " ".join(words[70:])
+    docs = spark.createDataFrame([(None, bad), (None, good), (None, None), (1, bad), (2, good), (2, bad), (3, good)], "doc_id long, text string")
+    table = spark.createDataFrame([(None, " ".join(words[5:50])), (7, " ".join(words[10:20])), (8, None)], "item_id long, text string")
+    for bound in (1_000_000, 0):
+        got = decontaminate.contaminated(docs, table, broadcast_shingles=bound).collect()
+        assert sorted(((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got), key=repr) == sorted(((d, *i) for d in (None, 1, 2) for i in ((None, 41, 41), (7, 6, 6))), key=repr)
+    table.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = decontaminate.stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(None, good), (None, None), (3, good)], key=repr)

@@ -105,14 +105,14 @@ def _broadcast_search(docs: DataFrame, items: list[tuple[int, str]], words: int)
 
 
 def _keys(frame: DataFrame, words: int, item: bool) -> DataFrame:
-    """(id, klass, hash) of sketches: a document's own class, an item's all classes; short items by class -1."""
+    """(id, klass, hash) of sketches, first column as id: a document's own class, an item's all classes; short items by class -1."""
 
     def run(batches):
         hasher = ByteHasher()
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], []]
             for key, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), hasher, words)):
-                if not len(own) or key is None:
+                if not len(own):
                     continue
                 if item:
                     parts = [(-1, own)] if len(own) < EXACT_BELOW else [(c, sketch(own, c)) for c in range(CLASSES)]
@@ -127,11 +127,13 @@ def _keys(frame: DataFrame, words: int, item: bool) -> DataFrame:
 
 
 def _joined_search(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    left = _keys(docs, words, item=False).withColumnRenamed("id", "doc_id")
-    right = _keys(items, words, item=True).withColumnRenamed("id", "item_id")
-    pairs = stored(left.join(right, ["klass", "hash"]).select("doc_id", "item_id").distinct(), "contained-pairs")
-    both = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("doc_id", "text", "item_id", "item_text")
+    # rows, not ids, are joined: an id may be null or stand for several rows
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "contained-docs")
+    items = stored(items.select(F.monotonically_increasing_id().alias("item_row"), "item_id", F.col("text").alias("item_text")), "contained-items")
+    left = _keys(docs.select("doc_row", "text"), words, item=False).withColumnRenamed("id", "doc_row")
+    right = _keys(items.select("item_row", "item_text"), words, item=True).withColumnRenamed("id", "item_row")
+    pairs = stored(left.join(right, ["klass", "hash"]).select("doc_row", "item_row").distinct(), "contained-pairs")
+    both = pairs.join(items, "item_row").join(docs, "doc_row").select("doc_id", "text", "item_id", "item_text")
 
     def run(batches):
         hasher = ByteHasher()
@@ -163,9 +165,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents."""
-    bad = stored(contaminated(docs, documents(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Drop contaminated documents: rows of a contaminated doc_id, and contaminated rows without doc_id."""
+    benchmark = documents(spark, sf_dir, "benchmark")
+    bad = stored(contaminated(docs, benchmark).where("doc_id is not null").select("doc_id").distinct(), "contaminated")
+    whole = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(*docs.columns)
+    loose = stored(docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "without-id")
+    found = contaminated(loose.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct()
+    return whole.unionByName(loose.join(found, "__row", "left_anti").select(*docs.columns))
 
 
 def _shingles_sql(table: str, key: str) -> str:
