@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings by prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings by grouping fingerprints at sampled positions, in place of prefix doubling.
 
 A byte goes when a 50-byte string over it also starts in a document with a smaller doc_id.
 
 Ranking every position by sorting (rank, rank at offset) pairs takes one sort of all
 positions for each doubling: 864 million rows of 16 bytes for 0.5 GB of Parquet, 14 GB a
-sort, against 2 GB that may be on disk. So the doubling runs over a synchronizing set of
-positions instead, as sparse suffix arrays do: of each 50-byte window the leftmost position
+sort (an estimate, not measured), against 2 GB that may be on disk. So strings of three
+lengths are grouped by fingerprint, with no reranking, over a synchronizing set of positions, as sparse suffix arrays do: of each 50-byte window the leftmost position
 with the smallest hash of its 20 bytes. Equal windows choose equal positions, so nothing
 is lost, and one position in 16 takes part. Ranks are classes of equal strings, named by
 64-bit fingerprints instead of by their place in the sorted order.
