@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -275,12 +276,13 @@ def generate_fixture(spark, sf_dir):
 # ---- trunk files
 
 
-def _round_trip(spark: SparkSession, sf_dir: str, codec: str = "gzip", trunk_kb: int = 64) -> str:
-    """The log view as trunk files, a file for each partition of a range sort; the folder's path."""
+def _round_trip(spark: SparkSession, sf_dir: str, codec: str = "gzip", trunk_kb: int = 64, keep: F.Column | None = None) -> str:
+    """The log view as trunk files, a file for each partition of a range sort, or its rows ``keep`` as one file; the folder's path."""
     trunklog.register(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
     path = os.path.join(trunklog.local(base), "trunkline", f"log-{uuid.uuid4().hex[:12]}")
-    log = events_as_log(spark, sf_dir).repartitionByRange(4, "record_index").sortWithinPartitions("record_index")
+    log = events_as_log(spark, sf_dir)
+    log = (log.repartitionByRange(4, "record_index") if keep is None else log.where(keep).repartition(1)).sortWithinPartitions("record_index")
     log.select("timestamp_millis", "level_id", "message").write.format("trunklog").mode("overwrite").option("compression", codec).option("trunkSizeKb", trunk_kb).save(path)
     return path
 
@@ -311,6 +313,14 @@ def pushed_window(spark, sf_dir):
     return rows.groupBy((F.col("record_index") % 1_000_000).alias("n")).agg(F.count("*").alias("rows"))
 
 
+@query("pushed_window_cut", "SELECT * FROM (SELECT timestamp_millis, level_id::INT AS level_id, message, row_number() OVER (PARTITION BY record_index % 4 ORDER BY record_index) - 1 AS record_index FROM lg) WHERE record_index >= 60 AND record_index < 180")
+def pushed_window_cut(spark, sf_dir):
+    """A window that cuts through trunks of four files: only some trunks are read, and parts of those at its ends."""
+    parts = [_round_trip(spark, sf_dir, trunk_kb=1, keep=F.pmod("record_index", F.lit(4)) == k) for k in range(4)]
+    rows = [spark.read.format("trunklog").load(path).where("record_index >= 60 AND record_index < 180") for path in parts]
+    return reduce(DataFrame.unionByName, rows).select("timestamp_millis", "level_id", "message", "record_index")
+
+
 # ---- rotation
 
 _ROTATE_BYTES = 4096
