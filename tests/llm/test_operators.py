@@ -242,3 +242,44 @@ def test_decontaminate_without_ids(spark, tmp_path):
     table.write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = decontaminate.stage(spark, docs, str(tmp_path)).collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([(None, good), (None, None), (3, good)], key=repr)
+
+
+def test_jaccard_stage(spark, docs, empty):
+    """The stage against plain Python; the table has columns named as the operators' own."""
+    sets = {r[0]: shingles(r[1]) for r in corpus()}
+    up = {k: k for k in sets}
+    for _ in sets:
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    up[a] = up[b] = min(up[a], up[b])
+    loose = docs.where("doc_id < 3").selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang", "source", "n_chars", "digest", "rep")
+    table = docs.unionByName(loose).unionByName(docs.where("doc_id = 0"))
+    got = jaccard_join.stage(spark, table, "")
+    assert got.columns == docs.columns
+    want = [r for r in corpus() if up[r[0]] == r[0]]
+    want += [r for r in want if r[0] == 0] + [(None, *r[1:]) for r in corpus()[:3]]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert jaccard_join.stage(spark, empty, "").count() == 0
+
+
+def test_suffix_dedup_stage(spark, empty):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    shared, whole = text(90), text(200)
+    rows = [(1, text(40) + shared), (2, shared + text(30)), (3, whole), (4, whole), (5, text(20) + shared + text(20) + whole[20:100]), (6, ""), (None, whole)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t), "clash", 1) for k, t in rows], DOCS)
+    seen, want = {}, []
+    for k, t in rows[:-1]:
+        cover = [False] * len(t)
+        for p in range(len(t) - 49):
+            if seen.setdefault(t[p : p + 50], k) < k:
+                cover[p : p + 50] = [True] * 50
+        kept = "".join(c for c, m in zip(t, cover) if not m)
+        if kept or not any(cover):
+            want.append((k, kept, "en", "s", len(kept), "clash", 1))
+    want.append((None, whole, "en", "s", 200, "clash", 1))
+    got = suffix_dedup.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert suffix_dedup.stage(spark, empty, "").count() == 0
