@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,6 +22,10 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Text bytes handled at once by the vectorised scanners.
 CHUNK_BYTES = 1 << 20
+#: Words of more bytes are hashed by BLAKE2b: strings of 1,024 bytes can be made that agree under any polynomial modulo 2**64.
+LONG_WORD = 64
+#: Salts of joins with a side whose key may be one node for a great part of all rows.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -201,8 +206,48 @@ def space_table() -> np.ndarray:
 LOWER, SPACE = lower_table(), space_table()
 
 
+def digest64(data: np.ndarray) -> int:
+    """BLAKE2b of lower-cased bytes, a chunk at a time."""
+    h = hashlib.blake2b(digest_size=8)
+    for lo in range(0, len(data), CHUNK_BYTES):
+        h.update(LOWER[data[lo : lo + CHUNK_BYTES]].tobytes())
+    return int.from_bytes(h.digest(), "little")
+
+
+def word_pieces(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """``data`` cut after spaces into pieces of ``limit`` bytes at most; a longer word is a piece of its own."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + limit, len(data))
+        spaces = np.flatnonzero(SPACE[data[lo:hi]]) if hi < len(data) else None
+        if spaces is not None:
+            if len(spaces):
+                hi = lo + int(spaces[-1]) + 1
+            else:
+                while hi < len(data) and not SPACE[data[hi : hi + limit]].any():
+                    hi = min(hi + limit, len(data))
+                hi += int(SPACE[data[hi : hi + limit]].argmax()) if hi < len(data) else 0
+        yield data[lo:hi]
+        lo = hi
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray, hasher: ByteHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and the index of its row."""
+    """Hash of each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and the index of its row.
+
+    A single row beyond ``CHUNK_BYTES`` is read in pieces, so that the arrays over its bytes stay small.
+    """
+    if len(data) > CHUNK_BYTES and len(at) == 2:
+        got = [_long_word(piece) if len(piece) > CHUNK_BYTES else _word_hashes(piece, np.array([0, len(piece)]), hasher)[0] for piece in word_pieces(data)]
+        words = np.concatenate(got)
+        return words, np.zeros(len(words), np.int64)
+    return _word_hashes(data, at, hasher)
+
+
+def _long_word(piece: np.ndarray) -> np.ndarray:
+    return np.array([digest64(piece)], dtype=U)
+
+
+def _word_hashes(data: np.ndarray, at: np.ndarray, hasher: ByteHasher) -> tuple[np.ndarray, np.ndarray]:
     if len(data) == 0:
         return np.zeros(0, U), np.zeros(0, np.int64)
     word = ~SPACE[data]
@@ -213,8 +258,10 @@ def word_hashes(data: np.ndarray, at: np.ndarray, hasher: ByteHasher) -> tuple[n
     last = word.copy()
     last[:-1] &= first[1:] | ~word[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    prefix = hasher.prefix(LOWER[data])
-    return hasher.spans(prefix, start, end), np.searchsorted(at, start, side="right") - 1
+    hashes = hasher.spans(hasher.prefix(LOWER[data]), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashes[i] = digest64(data[start[i] : end[i]])
+    return hashes, np.searchsorted(at, start, side="right") - 1
 
 
 def word_shingles(data: np.ndarray, at: np.ndarray, hasher: ByteHasher, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -283,13 +330,20 @@ def grouped_frames(frames: Iterable, keys: list[str]) -> Iterator:
 # ---------------------------------------------------------------- connected components
 
 
+def _salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key; rows of ``left`` that share a key are dealt over ``SALTS`` tasks by column ``by``."""
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [key, "salt"], how).drop("salt")
+
+
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(id, label) for every end of ``edges`` (a, b): label is the smallest id reachable.
 
     Rounds of contraction: every node points at its smallest neighbour, pointers are doubled
     twice, edges move to the ends' targets, loops and repeats go. Each round is a written
-    table; nothing but its row count reaches the driver. Group-bys combine before the shuffle
-    and the joins are plain equi-joins, which adaptive execution splits when one node is hot.
+    table; nothing but its row count reaches the driver. Group-bys combine before the shuffle;
+    joins by a node that may be the target of most rows are salted.
     """
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
     levels: list[DataFrame] = []
@@ -298,21 +352,33 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
         near = both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to"))
         for _ in range(2):
             hop = near.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            near = near.join(hop, "to").select("id", F.col("next").alias("to"))
+            near = _salted(near, hop, "to", "id").select("id", F.col("next").alias("to"))
         near = stored(near, f"{name}-level{len(levels)}")
         levels.append(near)
-        moved = (
-            edges.join(near.select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
-            .join(near.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-            .where("x <> y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
+        moved = _salted(edges, near.select(F.col("id").alias("a"), F.col("to").alias("x")), "a", "b")
+        moved = _salted(moved, near.select(F.col("id").alias("b"), F.col("to").alias("y")), "b", "a")
+        moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = stored(moved, f"{name}-edges")
     if not levels:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     out = levels[0].withColumnRenamed("to", "label")
     for level in levels[1:]:
         step = level.select(F.col("id").alias("label"), F.col("to").alias("next"))
-        out = out.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+        out = _salted(out, step, "label", "id", "left").select("id", F.coalesce("next", "label").alias("label"))
     return out
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, name: str, but: tuple[str, ...] = ()) -> F.Column:
+    """All columns of ``docs`` but some as one struct, so that no name clashes with those of an operator; null if none is left."""
+    others = [F.col(quoted(c)) for c in docs.columns if c not in but]
+    return (F.struct(*others) if others else F.lit(None).cast("string")).alias(name)
+
+
+def text_bytes(texts: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts: one pass over one column, to choose the number of partitions by."""
+    return int(texts.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0)

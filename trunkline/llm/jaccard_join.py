@@ -16,12 +16,20 @@ each document gets the smallest doc_id that it reaches by links.
    largest count of shingles that share a bit. Dual traversal drops a pair of nodes when
    sizes or the greatest possible overlap rule out a link, or when both are known to be in
    one component; leaves compare whole sets.
-4. Pairs of blocks of one family follow only where a block has a member that is not yet in
-   the pivot's component. So a group of thousands of near copies costs about one comparison
-   a text, and no pair of texts that may still matter is left out.
+4. What is left are pairs of classes with a common bucket that stand in different blocks and
+   different components. So buckets are looked through once more: those with members of several
+   blocks and components get a tree of their own, buckets of equal members only once. A bucket
+   beyond ``BLOCK`` members is cut by size and hash, and pairs of its cuts follow only where one has
+   a member outside the bucket's first component. A family that chance collisions have strung
+   together costs its collisions, not the square of its size, and no pair that may still matter
+   is left out.
+
+Shingles are compared as 64-bit hashes (words beyond 64 bytes by BLAKE2b), sets of equal digest
+(128 bits) as equal.
 
 Nulls: a null text is empty; empty texts link with nothing. A row without doc_id keeps a
-null component. Rows that repeat a doc_id are one node. Extra columns are ignored.
+null component. Rows that repeat a doc_id are one node, linked with whatever any of their texts is. Extra columns are
+ignored, whatever their names. Very long texts are hashed in pieces (8 bytes a word stay). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -210,6 +218,39 @@ def _block_links(rows: DataFrame, words: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
+def _unsettled(first: DataFrame, state: DataFrame) -> DataFrame | None:
+    """(task, side, rep, component) of what step 4 compares; None if every common bucket is settled."""
+    several = lambda c: F.min(c) != F.max(c)
+    open_ = state.groupBy("family").agg((several("component") & several("block")).alias("open")).where("open").select("family")
+    loose = state.join(open_, "family", "left_semi").select("rep", "block", "component", "n_shingles")
+    held = first.select("rep", "bands").join(loose, "rep").select("rep", "block", "component", "n_shingles", F.explode("bands").alias("key"))
+    held = stored(held, "jaccard-held")
+    apart = (F.col("n") > 2) | (4 * F.col("small") >= 3 * F.col("large"))
+    buckets = held.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("component").alias("head"),
+        F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), (several("component") & several("block")).alias("open"),
+    ).where("open").where(apart)
+    once = stored(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("head").alias("head")).select("key", "n", "head"), "jaccard-buckets")
+    if not once.limit(1).count():
+        return None
+    members = held.join(once, "key").select("key", "n", "head", "rep", "component", "n_shingles")
+    few = members.where(F.col("n") <= BLOCK).select(F.col("key").cast("string").alias("task"), F.lit(0).alias("side"), "rep", "component")
+    size = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("long")
+    part = F.concat_ws(":", "key", size, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+    many = stored(members.where(F.col("n") > BLOCK).withColumn("part", part), "jaccard-parts")
+    parts = many.groupBy("key", "part").agg(
+        F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.max(F.col("component") != F.col("head")).alias("open"), several("component").alias("mixed"),
+    )
+    x, y = parts.where("open").alias("x"), parts.alias("y")
+    pair = (F.col("x.part") < F.col("y.part")) | ((F.col("x.part") != F.col("y.part")) & ~F.col("y.open")) | ((F.col("x.part") == F.col("y.part")) & F.col("x.mixed"))
+    near = (4 * F.col("x.large") >= 3 * F.col("y.small")) & (4 * F.col("y.large") >= 3 * F.col("x.small"))
+    pairs = x.join(y, "key").where(pair & near).select(F.concat_ws("|", "x.part", "y.part").alias("task"), F.col("x.part").alias("one"), F.col("y.part").alias("two"))
+    sides = pairs.select("task", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("part")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("part")), F.struct(F.lit(1).alias("side"), F.col("two").alias("part"))))).alias("s"))
+    long = sides.select("task", "s.side", "s.part").join(many.select("part", "rep", "component"), "part").select("task", "side", "rep", "component")
+    return few.unionByName(long)
+
+
 def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, ...)."""
     small_batches(docs.sparkSession)
@@ -244,20 +285,10 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
         blocked.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "family", "n_shingles", "block", F.coalesce("label", "rep").alias("component")),
         "jaccard-state",
     )
-    spread = state.groupBy("family", "block").agg(F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.max(F.col("component") != F.col("family")).alias("open"))
-    x, y = spread.where("open").alias("x"), spread.alias("y")
-    apart = (F.col("x.block") < F.col("y.block")) | ((F.col("x.block") != F.col("y.block")) & ~F.col("y.open"))
-    near = (4 * F.col("x.large") >= 3 * F.col("y.small")) & (4 * F.col("y.large") >= 3 * F.col("x.small"))
-    pairs = x.join(y, "family").where(apart & near).select(F.col("x.block").alias("one"), F.col("y.block").alias("two"))
-    pairs = stored(pairs.withColumn("task", F.concat_ws("|", "one", "two")), "jaccard-pairs")
-    if pairs.limit(1).count():
-        whole = placed.join(state.select("rep", "component"), "rep").select("block", "rep", "component", "packed")
-        sides = [
-            pairs.select("task", F.col(c).alias("block")).join(whole, "block").select("task", F.lit(i).alias("side"), "rep", "component", "packed")
-            for i, c in enumerate(("one", "two"))
-        ]
-        across = _block_links(sides[0].unionByName(sides[1]), words)
-        labels = connected_components(links.union(across), "jaccard-all")
+    tasks = _unsettled(first, state)
+    if tasks is not None:
+        across = tasks.join(placed.select("rep", "packed"), "rep").select("task", "side", "rep", "component", "packed")
+        labels = connected_components(links.union(_block_links(across, words)), "jaccard-all")
     final = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(final.hint("merge"), "digest", "left")
     own_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -268,8 +299,24 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id AND r.label < e.b),
+c AS (SELECT id, min(label) AS label FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.label, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component; rows without doc_id stay."""
+    """Keep the document with the smallest doc_id of each component; rows without doc_id stay, and all rows that repeat the kept doc_id."""
     kept = stored(jaccard_components(docs), "jaccard-kept").where("doc_id = component_id").select("doc_id").distinct()
     whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
     return whole.unionByName(docs.where("doc_id is null"))

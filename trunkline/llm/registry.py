@@ -21,5 +21,7 @@ ORACLE_SQL = {
     "op2_chat_format": chat_format.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op7_suffix_dedup": suffix_dedup.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }

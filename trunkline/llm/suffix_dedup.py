@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trunkline.llm.common import ByteHasher, documents, give_back, lean, mix64, packed_texts, small_batches, stored, text_chunks, unpacked
+from trunkline.llm.common import ByteHasher, carried, documents, give_back, lean, mix64, packed_texts, quoted, small_batches, stored, text_bytes, text_chunks, unpacked
 
 LENGTH = 50
 SEED = 20
@@ -43,8 +43,10 @@ SEED = 20
 FLUSH_BYTES = 6 << 20
 #: Text bytes scanned at once; the arrays over them take about 100 bytes a byte.
 SCAN_BYTES = 1 << 18
-#: Fingerprint ranges for each shuffle partition, so that partitions come out even.
+#: Text bytes for each partition of fingerprints, and fingerprint ranges for each partition (they are answered one by one).
+PARTITION_BYTES = 16 << 20
 PARTS_PER_PARTITION = 4
+RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 ANSWER = "doc_id long, settled binary, open binary"
 U = np.uint64
 
@@ -63,22 +65,42 @@ class Sample:
     """Chosen positions of a buffer of whole documents, with the run of windows that chose each.
 
     row: document; lo, hi: first and last window start; seed, wide: ranks of steps 1 and 2.
+    A single document beyond ``SCAN_BYTES`` is read in pieces cut between two runs, so that its runs
+    are those of the whole.
     """
 
     def __init__(self, data: np.ndarray, at: np.ndarray, hasher: ByteHasher, length: int, seed: int) -> None:
-        self.length, n = length, len(data)
-        self.prefix, self.hasher, self.at = hasher.prefix(data), hasher, at
+        self.length, self.data, self.hasher = length, data, hasher
         empty = np.zeros(0, np.int64)
         self.row = self.lo = self.hi = empty
         self.seed = self.wide = np.zeros(0, U)
-        if n < length:
+        if len(data) < length:
             return
+        if len(at) == 2 and len(data) > SCAN_BYTES + length:
+            self._read_pieces(seed)
+        else:
+            self._read(at, seed)
+
+    def _read_pieces(self, seed: int) -> None:
+        got, begin, count = [], 0, len(self.data) - self.length + 1
+        while begin < count:
+            end = min(begin + SCAN_BYTES, count)
+            own = self.data[begin : end + self.length - 1]
+            part = Sample(own, np.array([0, len(own)]), self.hasher, self.length, seed)
+            whole = len(part.lo) - (end < count)  # the last run may go on
+            got.append((part.lo[:whole] + begin, part.hi[:whole] + begin, part.seed[:whole], part.wide[:whole]))
+            begin = count if end == count else begin + int(part.lo[-1])
+        self.lo, self.hi, self.seed, self.wide = (np.concatenate([g[j] for g in got]) for j in range(4))
+        self.row = np.zeros(len(self.lo), np.int64)
+
+    def _read(self, at: np.ndarray, seed: int) -> None:
+        hasher, length, n = self.hasher, self.length, len(self.data)
+        prefix = hasher.prefix(self.data)
         start = np.arange(n - seed + 1)
-        seeds = hasher.spans(self.prefix, start, start + seed)
+        seeds = hasher.spans(prefix, start, start + seed)
         bits = U(max(20, n.bit_length()))
         low = window_minimum(((seeds >> bits) << bits) | start.astype(U), length - seed + 1)
         chosen = (low & ((U(1) << bits) - U(1))).astype(np.int64)
-        valid = np.ones(len(chosen), dtype=bool)
         spoiled = np.zeros(len(chosen) + 1, dtype=np.int64)
         for cut in at[1:-1]:
             spoiled[max(0, min(cut - length + 1, len(chosen)))] += 1
@@ -92,14 +114,31 @@ class Sample:
         place = chosen[self.lo]
         self.row = np.searchsorted(at, self.lo, side="right") - 1
         self.seed = seeds[place]
-        whole = hasher.spans(self.prefix, self.lo, self.hi + length)
+        whole = hasher.spans(prefix, self.lo, self.hi + length)
         self.wide = mix64(whole + (place - self.lo).astype(U) * U(0xC2B2AE3D27D4EB4F)) ^ self.seed
 
     def windows(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ranks of all windows of the picked positions."""
+        """Starts and ranks of all windows of the picked positions, ascending."""
         many = self.hi[picked] - self.lo[picked] + 1
         start = np.repeat(self.lo[picked], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return start, self.hasher.spans(self.prefix, start, start + self.length)
+        ranks, i = np.empty(len(start), U), 0
+        while i < len(start):
+            j = int(np.searchsorted(start, start[i] + SCAN_BYTES))
+            own = start[i:j] - start[i]
+            ranks[i:j] = self.hasher.spans(self.hasher.prefix(self.data[start[i] : start[j - 1] + self.length]), own, own + self.length)
+            i = j
+        return start, ranks
+
+
+def merged(start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of half-open intervals, as maximal runs within each document; ``at``: where documents begin."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    row = np.searchsorted(at, start, side="right")
+    first = np.flatnonzero(np.concatenate([[True], (start[1:] > reach[:-1]) | (row[1:] != row[:-1])]))
+    return start[first], reach[np.concatenate([first[1:] - 1, [len(start) - 1]])]
 
 
 def _packed(doc: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
@@ -109,6 +148,11 @@ def _packed(doc: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[lis
     return ids, [[c[s:e].tobytes() for s, e in zip(cut, ends)] for c in columns]
 
 
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Fingerprint range of each key, by the 48 bits that are shuffled; mixed first, as chosen positions have small hashes."""
+    return (mix64(key >> U(16)) >> U(32)) * U(parts) >> U(32)
+
+
 def _own_minimum(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first of its key, smallest doc of its key) after sorting by (key, doc)."""
     order = np.lexsort((doc, key))
@@ -135,7 +179,7 @@ def _scan(docs: DataFrame, parts: int, length: int, seed: int) -> DataFrame:
             late = doc > least
             rest = first
             out = []
-            part = (key[rest] >> U(32)) * U(parts) >> U(32)
+            part = _part(key[rest], parts)
             by = np.lexsort((doc[rest], part))
             p, d, k, w = part[by], doc[rest][by], key[rest][by], wide[rest][by]
             cut = np.searchsorted(p, np.arange(parts + 1, dtype=U))
@@ -318,9 +362,9 @@ def _window_answers(windows: DataFrame, parts: int) -> DataFrame:
 
 
 def _cut(placed: DataFrame, kept: list[str], length: int, seed: int) -> DataFrame:
-    """Last step: covered bytes go. Columns ``kept`` and doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text."""
+    """Last step: covered bytes go. Columns ``kept`` and ``RESULTS``."""
     n = len(kept)
-    names = [*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    names = [*kept, *RESULTS]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     key = kept.index("doc_id")
 
@@ -333,25 +377,25 @@ def _cut(placed: DataFrame, kept: list[str], length: int, seed: int) -> DataFram
                 out = []
                 for lo, hi, data, at in text_chunks(texts, SCAN_BYTES):
                     todo_rows = [i for i in range(lo, hi) if ids[base + i].is_valid and (settled[base + i].is_valid or opened[base + i].is_valid)]
-                    cover = np.zeros(len(data) + 1, dtype=np.int64)
                     s = Sample(data, at, hasher, length, seed) if todo_rows else None
+                    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                     for i in todo_rows:
                         done, todo = _marked(s, i - lo, settled[base + i].as_py(), opened[base + i].as_py())
-                        np.add.at(cover, s.lo[done], 1)
-                        np.add.at(cover, s.hi[done] + length, -1)
+                        starts.append(s.lo[done])
+                        ends.append(s.hi[done] + length)
                         again = repeated[base + i].as_py()
                         if again and len(todo):
                             start, rank = s.windows(todo)
                             start = start[np.isin(rank, np.concatenate([np.frombuffer(b, U) for b in again]))]
-                            np.add.at(cover, start, 1)
-                            np.add.at(cover, start + length, -1)
-                    gone = np.cumsum(cover[:-1]) > 0
+                            starts.append(start)
+                            ends.append(start + length)
+                    starts, ends = merged(np.concatenate(starts), np.concatenate(ends), at)
                     for i in range(lo, hi):
-                        own, text = gone[at[i - lo] : at[i - lo + 1]], data[at[i - lo] : at[i - lo + 1]]
-                        left = text[~own].tobytes()
-                        edge = own.copy()
-                        edge[1:] &= ~own[:-1]
-                        out.append((len(text), int(own.sum()), int(edge.sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+                        begin, end_ = int(at[i - lo]), int(at[i - lo + 1])
+                        gone = slice(*np.searchsorted(starts, [begin, end_]))
+                        edges = [begin, *np.column_stack([starts[gone], ends[gone]]).ravel().tolist(), end_]
+                        left = b"".join(data[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2]))
+                        out.append((end_ - begin, end_ - begin - len(left), len(edges) // 2 - 1, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
                 yield pa.RecordBatch.from_arrays([c.slice(base, end - base) for c in batch.columns[:n]] + [pa.array([o[j] for o in out], kinds[j]) for j in range(5)], names=names)
 
     added = zip(names[n:], (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()))
@@ -359,16 +403,12 @@ def _cut(placed: DataFrame, kept: list[str], length: int, seed: int) -> DataFram
     return placed.select(*kept, "packed", "settled", "open", "repeated").mapInArrow(lean(run), schema)
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Rows of ``docs`` without text, with n_bytes, n_removed, n_spans, kept_sha256, kept_text.
-
-    In kept_text, characters that lose some of their bytes are left out whole.
-    """
+def _deduplicated(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """(doc_id, others, ``RESULTS``): ``others`` is a struct of the columns besides doc_id and text."""
     small_batches(docs.sparkSession)
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    others = [c for c in docs.columns if c not in ("text", "doc_id")]
-    rows = docs.select(F.col("doc_id").cast("long"), *others, F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), carried(docs, "others", ("doc_id", "text")), F.col("text").cast("string"))
     texts = rows.select("doc_id", "text").where("doc_id is not null").where(F.octet_length("text") >= length)
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(texts) // PARTITION_BYTES))
     found = _answers(_scan(texts, PARTS_PER_PARTITION * parts, length, seed), parts)
     found = stored(found.groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("open").alias("open")), "repeats-found")
     todo = found.where(F.exists("open", lambda x: F.octet_length(x) > 0))
@@ -376,7 +416,18 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     again = _window_answers(windows, parts).groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated"))
     again = stored(again, "repeats-windows")
     placed = packed_texts(rows).join(found.hint("merge"), "doc_id", "left").join(again.hint("merge"), "doc_id", "left")
-    return _cut(placed, ["doc_id", *others], length, seed)
+    return _cut(placed, ["doc_id", "others"], length, seed)
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """Rows of ``docs`` without text, with n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+
+    A column of ``docs`` that has the name of one of these gives way to it. In kept_text, characters that
+    lose some of their bytes are left out whole.
+    """
+    taken = {"doc_id", "text", *RESULTS}
+    others = [F.col("others")[c].alias(c) for c in docs.columns if c.lower() not in taken]
+    return _deduplicated(docs, length, seed).select("doc_id", *others, *RESULTS)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,10 +435,27 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir).select("doc_id", "text")).drop("kept_text")
 
 
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, strlen(h) // 2 AS n, i * 512 AS lo, substr(h, i * 1024 + 1, {1022 + 2 * LENGTH}) AS part FROM d, LATERAL (SELECT unnest(range(0, greatest(1, (strlen(h) // 2 + 511) // 512))) AS i)),
+w AS (SELECT doc_id, lo + j AS p, substr(part, 2 * j + 1, {2 * LENGTH}) AS s FROM c, LATERAL (SELECT unnest(range(0, 512)) AS j) WHERE lo + j + {LENGTH} <= n),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+k AS (SELECT w.doc_id, w.p FROM w JOIN f ON f.s = w.s AND w.doc_id > f.least),
+o AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH}, -1) AS starts FROM k),
+g AS (SELECT doc_id, p, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o),
+r AS (SELECT doc_id, run, min(p) AS a, max(p) + {LENGTH} AS b FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),
+q AS (SELECT t.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id)
+SELECT d.doc_id, strlen(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN q ON q.doc_id = d.doc_id
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the repeated bytes out of the texts; a document that loses all of its text goes. n_chars follows the text."""
-    out = deduplicated(docs).where("n_removed = 0 or kept_text <> ''")
-    changed = {"text": F.when(F.col("n_removed") >= 0, F.col("kept_text")).alias("text")}
+    out = _deduplicated(docs, LENGTH, SEED).where("n_removed = 0 or kept_text <> ''")
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("kept_text").alias("text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*[changed.get(c, F.col(c)) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("others")["n_chars"]).alias("n_chars")
+    return out.select(*[changed.get(c, F.col("others")[c].alias(c)) for c in docs.columns])
