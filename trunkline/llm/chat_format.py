@@ -17,7 +17,7 @@ rendering is one string, so its turns meet in one task; events are folded before
 (conv_id, turn), and only whole messages are gathered.
 
 Nulls: a null text or role is empty; a null conv_id is a conversation of its own; a null turn or
-seq sorts first. Repeated rows are repeated turns. Extra columns are ignored; an empty table gives none.
+seq sorts first. Repeated rows are repeated turns; texts of any length, up to Spark's strings of 2 GB for a whole conversation. Extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = r"(<|\[)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])"
 RESTORE = CONTROL.replace(r"(\\*)", r"\\(\\*)")
 LOSS_ROLE = "assistant"
+DELTA_CHARS = 512
 
 
 def escaped(text: F.Column) -> F.Column:
@@ -73,23 +74,16 @@ def folded(events: DataFrame) -> DataFrame:
 
 
 def formatted(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): code points [start, end) under the loss mask."""
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "seq", "item", "role", "text"))).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"))
-    parts = F.transform("turns", lambda t: F.struct((t["role"] == LOSS_ROLE).alias("loss"), head(t).alias("head"), escaped(t["text"]).alias("body")))
-    tail = len(END) + 1
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-
-    def walk(acc, p):
-        begin = acc["at"] + F.length(p["head"])
-        end = begin + F.length(p["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + tail).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    out = turns.select("conv_id", parts.alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
-    lengths = F.transform("parts", lambda p: F.struct(p["loss"].alias("loss"), p["head"].alias("head"), p["body"].alias("body")))
-    return out.select("conv_id", text.alias("formatted"), F.aggregate(lengths, zero, walk, lambda acc: acc["spans"]).alias("loss_spans"))
+    """(conv_id, formatted, loss_spans): code points [start, end) under the loss mask; where a turn begins is a running sum of lengths."""
+    head = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))
+    turns = messages.select("conv_id", "turn", "seq", "item", "role", "text", (F.col("role") == LOSS_ROLE).alias("loss"), head.alias("head"), escaped(F.col("text")).alias("body"))
+    turns = turns.withColumn("size", (F.length("head") + F.length("body") + len(END) + 1).cast("long"))
+    upto = Window.partitionBy("conv_id").orderBy("turn", "seq", "item", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum("size").over(upto) - F.col("size") + F.length("head")
+    pieces = turns.withColumn("start", start).select("conv_id", F.struct("start", (F.col("start") + F.length("body")).alias("end"), "loss", F.concat("head", "body", F.lit(END + "\n")).alias("piece")).alias("p"))
+    whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))  # starts differ, so they are the order
+    spans = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parsed(rendered: DataFrame) -> DataFrame:
@@ -106,11 +100,13 @@ def parsed(rendered: DataFrame) -> DataFrame:
     return rendered.select("*", F.transform(F.when(F.length("formatted") > 0, pieces).otherwise(F.array().cast("array<string>")), turn).alias("turns"), F.array_join(spans, "").alias("loss_text"))
 
 
-def conversation_events(rows: DataFrame) -> DataFrame:
-    """Rows by turn as an event log: each row is its turn's only delta. Repeated turns stay apart."""
+def conversation_events(rows: DataFrame, size: int = DELTA_CHARS) -> DataFrame:
+    """Rows by turn as an event log: each row is streamed as deltas of ``size`` code points. Repeated turns stay apart."""
     item = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return rows.select("conv_id", "turn", "role", "text").withColumn("item", item).select(
-        "conv_id", "turn", "item", (F.coalesce(F.col("turn").cast("long"), F.lit(-1)) * 2).alias("seq"), F.lit("delta").alias("op"), "role", "text"
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    some = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
+    return rows.select("conv_id", "turn", "role", "text").withColumn("item", item).select("conv_id", "turn", "item", "role", F.posexplode(some).alias("at", "text")).select(
+        "conv_id", "turn", "item", F.col("at").cast("long").alias("seq"), F.lit("delta").alias("op"), "role", "text"
     )
 
 

@@ -214,7 +214,7 @@ def digest64(data: np.ndarray) -> int:
     return int.from_bytes(h.digest(), "little")
 
 
-def word_pieces(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+def word_pieces(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
     """``data`` cut after spaces into pieces of ``limit`` bytes at most; a longer word is a piece of its own."""
     lo = 0
     while lo < len(data):
@@ -237,7 +237,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, hasher: ByteHasher) -> tuple[n
     A single row beyond ``CHUNK_BYTES`` is read in pieces, so that the arrays over its bytes stay small.
     """
     if len(data) > CHUNK_BYTES and len(at) == 2:
-        got = [_long_word(piece) if len(piece) > CHUNK_BYTES else _word_hashes(piece, np.array([0, len(piece)]), hasher)[0] for piece in word_pieces(data)]
+        got = [_long_word(piece) if len(piece) > CHUNK_BYTES else _word_hashes(piece, np.array([0, len(piece)]), hasher)[0] for piece in word_pieces(data, CHUNK_BYTES)]
         words = np.concatenate(got)
         return words, np.zeros(len(words), np.int64)
     return _word_hashes(data, at, hasher)

@@ -16,8 +16,11 @@ Items whose shingles are at most ``BROADCAST_SHINGLES`` in all are sent to every
 each for every size class); beyond that, sketches are joined by hash and the candidates' texts
 brought together.
 
+Shingles are compared as 64-bit hashes (words beyond 64 bytes by BLAKE2b).
+
 Nulls: a null text is empty; empty documents and items match nothing. Rows without an id, repeated
-rows and extra columns are allowed: each document row gives its own result rows.
+rows and extra columns of any name are allowed: each document row gives its own result rows. Very long texts are
+hashed in pieces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, documents, lean, shingle_sets, stored
+from trunkline.llm.common import ByteHasher, documents, lean, quoted, shingle_sets, stored
 
 SHINGLE_WORDS = 5
 EXACT_BELOW = 24
@@ -104,8 +107,11 @@ def _broadcast_search(docs: DataFrame, items: list[tuple[int, str]], words: int)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), FOUND)
 
 
-def _keys(frame: DataFrame, words: int, item: bool) -> DataFrame:
-    """(id, klass, hash) of sketches, first column as id: a document's own class, an item's all classes; short items by class -1."""
+def _keys(frame: DataFrame, words: int, item: bool, short: np.ndarray | None = None) -> DataFrame:
+    """(id, klass, hash) of sketches, first column as id: a document's own class, an item's all classes; short items by class -1.
+
+    ``short``: the only hashes that a document gives in class -1, if they are known; else it gives all of its own.
+    """
 
     def run(batches):
         hasher = ByteHasher()
@@ -117,7 +123,8 @@ def _keys(frame: DataFrame, words: int, item: bool) -> DataFrame:
                 if item:
                     parts = [(-1, own)] if len(own) < EXACT_BELOW else [(c, sketch(own, c)) for c in range(CLASSES)]
                 else:
-                    parts = [(-1, own), (size_class(len(own)), sketch(own, size_class(len(own))))]
+                    all_ = own if short is None else own[np.isin(own, short, assume_unique=True)]
+                    parts = [(-1, all_), (size_class(len(own)), sketch(own, size_class(len(own))))]
                 for klass, hashes in parts:
                     for col, x in zip(cols, (np.full(len(hashes), key, np.int64), np.full(len(hashes), klass, np.int64), hashes.view(np.int64))):
                         col.append(x)
@@ -130,8 +137,11 @@ def _joined_search(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
     # rows, not ids, are joined: an id may be null or stand for several rows
     docs = stored(docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "contained-docs")
     items = stored(items.select(F.monotonically_increasing_id().alias("item_row"), "item_id", F.col("text").alias("item_text")), "contained-items")
-    left = _keys(docs.select("doc_row", "text"), words, item=False).withColumnRenamed("id", "doc_row")
-    right = _keys(items.select("item_row", "item_text"), words, item=True).withColumnRenamed("id", "item_row")
+    right = stored(_keys(items.select("item_row", "item_text"), words, item=True).withColumnRenamed("id", "item_row"), "contained-keys")
+    few = right.where("klass = -1").select("hash").distinct().limit(BROADCAST_SHINGLES + 1)
+    got = few.collect() if few.count() <= BROADCAST_SHINGLES else None  # 8 bytes each; beyond, documents give all shingles, with the same result
+    short = None if got is None else np.unique(np.array([r[0] for r in got], dtype=np.int64).view(U))
+    left = _keys(docs.select("doc_row", "text"), words, item=False, short=short).withColumnRenamed("id", "doc_row")
     pairs = stored(left.join(right, ["klass", "hash"]).select("doc_row", "item_row").distinct(), "contained-pairs")
     both = pairs.join(items, "item_row").join(docs, "doc_row").select("doc_id", "text", "item_id", "item_text")
 
@@ -168,10 +178,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents: rows of a contaminated doc_id, and contaminated rows without doc_id."""
     benchmark = documents(spark, sf_dir, "benchmark")
     bad = stored(contaminated(docs, benchmark).where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    whole = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(*docs.columns)
+    whole = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
     loose = stored(docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()), "without-id")
     found = contaminated(loose.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct()
-    return whole.unionByName(loose.join(found, "__row", "left_anti").select(*docs.columns))
+    return whole.unionByName(loose.join(found, "__row", "left_anti").select(*[quoted(c) for c in docs.columns]))
 
 
 def _shingles_sql(table: str, key: str) -> str:

@@ -318,5 +318,5 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each component; rows without doc_id stay, and all rows that repeat the kept doc_id."""
     kept = stored(jaccard_components(docs), "jaccard-kept").where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*[quoted(c) for c in docs.columns])
     return whole.unionByName(docs.where("doc_id is null"))

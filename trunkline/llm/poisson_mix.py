@@ -11,7 +11,9 @@ source counts combine before their shuffle, and the rates are broadcast only whe
 at most ``BROADCAST_SOURCES`` sources.
 
 Nulls: a null source is a source of its own; a null doc_id hashes as an empty string. Repeated
-rows get equal counts. Extra columns stay. Rates above ``MAX_RATE`` are an error (exp underflows).
+rows get equal counts, so ties of the order are equal rows. Extra columns stay, but ``copy`` and ``place`` of the input
+give way to the operator's. An empty table gives none; texts are only carried, whatever their length. Rates above
+``MAX_RATE`` are an error (exp underflows).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import documents, stored
+from trunkline.llm.common import documents, quoted, stored
 
 TEMPERATURE = 0.7
 SEED = "mix-1"
@@ -43,9 +45,11 @@ def source_rates(docs: DataFrame, weights: dict | None = None, temperature: floa
         for name, weight in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(share)
     sized = stored(sizes.withColumn("share", share), "mix-sizes")
-    total = sized.agg(F.sum("n").alias("all_n"), F.sum("share").alias("all_share"))
-    rate = F.round(F.when(F.col("all_share") > 0, F.col("share") / F.col("all_share") * F.col("all_n") / F.col("n")).otherwise(0.0), 6)
-    return sized.crossJoin(F.broadcast(total)).select("source", rate.alias("rate"))  # total is one row
+    total = sized.agg(F.sum("n").alias("n"), F.sum("share").alias("share")).first()  # two numbers
+    if not total["share"]:
+        return sized.select("source", F.lit(0.0).alias("rate"))
+    rate = F.col("share") / F.lit(total["share"]) * F.lit(total["n"]) / F.col("n")
+    return sized.select("source", F.round(rate, 6).alias("rate"))
 
 
 def poisson_count(rate: F.Column, unit: F.Column) -> F.Column:
@@ -62,15 +66,16 @@ def poisson_count(rate: F.Column, unit: F.Column) -> F.Column:
 
 def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
     """Rows of ``docs`` as often as drawn, with ``copy`` (from 0) and ``place`` (0 to 1), globally shuffled."""
-    rates = stored(source_rates(docs, weights, temperature), "mix-rates")
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("copy", "place")])
+    rates = stored(source_rates(docs, weights, temperature).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate")), "mix-rates")
     small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = rates.select(F.col("source").alias("rate_source"), "rate")
-    joined = docs.join(F.broadcast(rates) if small else rates, docs["source"].eqNullSafe(F.col("rate_source"))).drop("rate_source")
-    rate = F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit(f"a mean repetition rate is above {MAX_RATE}")).cast("double")).otherwise(F.col("rate"))
-    counted = joined.withColumn("n_copies", poisson_count(rate, hash_unit(F.lit(seed), F.col("doc_id")))).where("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    placed = copies.withColumn("place", hash_unit(F.lit(seed), F.col("doc_id"), F.col("copy")))
-    return placed.drop("n_copies", "rate").repartition("place", "doc_id", "copy").sortWithinPartitions("place", "doc_id", "copy")
+    joined = docs.join(F.broadcast(rates) if small else rates, docs["source"].eqNullSafe(F.col("__mix_source")))
+    mean = F.col("__mix_rate")
+    rate = F.when(mean > MAX_RATE, F.raise_error(F.lit(f"a mean repetition rate is above {MAX_RATE}")).cast("double")).otherwise(mean)
+    counted = joined.withColumn("__mix_count", poisson_count(rate, hash_unit(F.lit(seed), F.col("doc_id")))).where("__mix_count > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__mix_count") - 1)))
+    placed = copies.withColumn("place", hash_unit(F.lit(seed), F.col("doc_id"), F.col("copy"))).drop("__mix_source", "__mix_rate", "__mix_count")
+    return placed.repartition("place", "doc_id", "copy").sortWithinPartitions("place", "doc_id", "copy")
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

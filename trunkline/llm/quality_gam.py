@@ -10,7 +10,8 @@ doc_id, from the training part of the split only. Scoring is one pass without a
 
 Nulls: a null text is empty and gets a score like any other. Labels that are null don't count;
 of several labels of one doc_id the largest counts. Without both classes among the labels, every
-score is the share of label 1 (0.5 without any labels). Extra columns are ignored.
+score is the share of label 1 (0.5 without any labels). Extra columns are ignored, whatever their names; an empty table
+gives no rows, repeated rows score alike, and a very long text is read in pieces.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, documents, lean, stored, text_chunks, word_hashes
+from trunkline.llm.common import CHUNK_BYTES, ByteHasher, digest64, documents, lean, stored, text_chunks, word_hashes
 
 SAMPLE_ROWS = 20_000
 BINS = 32
@@ -47,22 +48,40 @@ def _classes() -> np.ndarray:
 KIND = _classes()
 
 
+def byte_counts(data: np.ndarray) -> np.ndarray:
+    """How often each byte stands in ``data``, a chunk at a time."""
+    total = np.zeros(256, dtype=np.int64)
+    for lo in range(0, len(data), CHUNK_BYTES):
+        total += np.bincount(data[lo : lo + CHUNK_BYTES], minlength=256)
+    return total
+
+
+def line_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hasher: ByteHasher) -> np.ndarray:
+    """Hash of each line [begin, end); lines are read a chunk at a time, longer ones by BLAKE2b."""
+    out, i = np.zeros(len(begin), np.uint64), 0
+    while i < len(begin):
+        if end[i] - begin[i] > CHUNK_BYTES:
+            out[i] = digest64(data[begin[i] : end[i]])
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK_BYTES, side="right")))
+        out[i:j] = hasher.spans(hasher.prefix(data[begin[i] : end[j - 1]]), begin[i:j] - begin[i], end[i:j] - begin[i])
+        i = j
+    return out
+
+
 def text_features(column: pa.Array, hasher: ByteHasher) -> np.ndarray:
     """One line of ``FEATURES`` for each row."""
     blocks = [np.zeros((0, len(FEATURES)))]
     for lo, hi, data, at in text_chunks(column):
         rows = hi - lo
         size = np.maximum(np.diff(at), 1).astype(float)
-        kind = KIND[data]
-        share = np.empty((9, rows))
-        for k in range(9):
-            run = np.concatenate([[0], np.cumsum(kind == k)])
-            share[k] = run[at[1:]] - run[at[:-1]]
+        hist = np.stack([byte_counts(data[a:b]) for a, b in zip(at, at[1:])])
+        share = np.stack([hist[:, KIND == k].sum(1) for k in range(9)]).astype(float)
         words, row = word_hashes(data, at, hasher)
         n_words = np.bincount(row, minlength=rows).astype(float)
         cut = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
         lines = np.flatnonzero(data == 10)
-        prefix = hasher.prefix(data)
         out = np.zeros((rows, len(FEATURES)))
         letters = np.maximum(share[0] + share[1] + share[6] / 2, 1)
         some = np.maximum(n_words, 1)
@@ -89,9 +108,8 @@ def text_features(column: pa.Array, hasher: ByteHasher) -> np.ndarray:
             begin, end = np.concatenate([[at[i]], ends + 1]), np.concatenate([ends, [at[i + 1]]])
             full = end - begin > 3
             if full.any():
-                out[i, 14] = 1 - len(np.unique(hasher.spans(prefix, begin[full], end[full]))) / full.sum()
-            hist = np.bincount(data[at[i] : at[i + 1]], minlength=256)
-            p = hist[hist > 0] / hist.sum()
+                out[i, 14] = 1 - len(np.unique(line_hashes(data, begin[full], end[full], hasher))) / full.sum()
+            p = hist[i][hist[i] > 0] / hist[i].sum()
             out[i, 15] = -(p * np.log2(p)).sum()
             out[i, 18] = float((at[i + 1] - at[i]) / len(own) > 12)
         blocks.append(out)

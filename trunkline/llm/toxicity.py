@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import documents, stored, text_chunks
+from trunkline.llm.common import CHUNK_BYTES, documents, stored, text_chunks
 from trunkline.llm.jaccard_join import jaccard_components
 from trunkline.llm.quality_gam import held_out, labelled_sample
 
 SAMPLE_ROWS = 20_000
-LEXICON_WORDS = 2_000
 LEAST_DOCUMENTS, LEAST_ODDS = 8, 3.0
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -78,9 +77,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for batch in batches:
             for _, _, data, _ in text_chunks(batch.column(0)):
-                c = CODES[data]
-                if len(c) > 2:
-                    total += np.bincount(c[:-2] * SYMBOLS**2 + c[1:-1] * SYMBOLS + c[2:], minlength=SYMBOLS**3)
+                for lo in range(0, len(data), CHUNK_BYTES):  # one row may be longer
+                    c = CODES[data[lo : lo + CHUNK_BYTES + 2]]
+                    if len(c) > 2:
+                        total += np.bincount(c[:-2] * SYMBOLS**2 + c[1:-1] * SYMBOLS + c[2:], minlength=SYMBOLS**3)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["code", "n"])
 
@@ -236,11 +236,11 @@ def _word_rows(joined: DataFrame, model: np.ndarray) -> DataFrame:
 
 
 def _features(found: set[str], lexicon: dict[str, float], stems: dict[str, float]) -> tuple[float, float]:
-    """Distinct lexicon words (6 at most count) and the logarithm of their summed odds."""
+    """Logarithms of the number of distinct lexicon words and of their summed odds."""
     odds = [lexicon[w] for w in found & lexicon.keys()]
     if stems:
         odds += [max(got) for w in found if w not in lexicon and (got := [stems[w[:k]] for k in STEMS if len(w) > k and w[:k] in stems])]
-    return float(min(len(odds), 6)), float(np.log1p(sum(odds)))
+    return float(np.log1p(len(odds))), float(np.log1p(sum(odds)))
 
 
 def _rows(frame: DataFrame, model: np.ndarray, lexicon: dict[str, float], extra: str) -> DataFrame:
@@ -291,7 +291,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, training: F.Column, rows: int =
     n = {r[0]: r[1] for r in sample.join(single, "doc_id", "left_semi").groupBy("label").count().collect()}
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n.get(0, 0) + 1.0)) - 1.5 * F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     strong = words.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    lexicon = {r["word"]: r["odds"] for r in strong.orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).collect()}
+    lexicon = {r["word"]: r["odds"] for r in strong.collect()}  # words of LEAST_DOCUMENTS of the sample's documents
     model = log_model(counts, word_trigrams([w for w in lexicon if w[-1] != "~"]))
     fit = sorted(_rows(joined.where(half == 1).select("doc_id", "label", "text"), model, lexicon, "label int, ").collect())
     y = np.array([r[1] for r in fit], dtype=float)

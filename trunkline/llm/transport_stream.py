@@ -9,7 +9,8 @@ identifier, reassembles the elementary packets, and lists time stamps and random
 
 Packets are built and taken apart as arrays of 188-byte lines, one text at a time.
 Nulls: a null text is empty. Any text gives a stream; equal texts give equal streams. Extra
-columns are ignored and repeated rows give equal rows.
+columns are ignored, whatever their names, and repeated rows give equal rows; an empty table gives none. A very long
+text is one stream of about its own size, and some eight times that in memory.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Files lie in the shared folder under names of their own for each task attempt; t
 of attempts that were kept, so lost executors and repeated tasks leave stray files at worst.
 
 Nulls: a null payload is empty, a null url has an empty key. A row without page_id is always a
-response. Rows that repeat page_id and payload are all of one type. Extra columns are ignored.
+response. Rows that repeat page_id and payload are all of one type. Extra columns are ignored, whatever their names.
+A very long payload is one record; an empty table writes no archive and reads nothing.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ from trunkline.llm.files import RangeReader, create
 
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 512
+#: Captures of an index shard, and record bytes of a reading task.
+SHARD_LINES = 500_000
+TASK_BYTES = 64 << 20
 FETCHED = "2024-01-01T00:00:00Z"
 TAB, LINE = "\t", "\n"
 
@@ -85,10 +89,11 @@ def parse_record(member: bytes) -> dict:
 def deduplicated(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is null for responses."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    named = rows.select("page_id", F.sha1("html").alias("sha")).where("page_id is not null").distinct()
+    digest = F.sha2("html", 256)  # SHA-1, which the records carry, can be made to collide
+    named = rows.select("page_id", digest.alias("sha")).where("page_id is not null").distinct()
     first = named.groupBy("sha").agg(F.min("page_id").alias("first"))
     revisits = named.join(first, "sha").where("page_id <> first").withColumnRenamed("first", "refers_to")
-    return rows.withColumn("sha", F.sha1("html")).join(revisits, ["page_id", "sha"], "left").drop("sha")
+    return rows.withColumn("sha", digest).join(revisits, ["page_id", "sha"], "left").drop("sha")
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -124,7 +129,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     """Shards of the index in key order: (first sort key, path); one for each partition of the sort."""
     line = F.concat_ws(TAB, "sort_key", "file", "offset", "length")
     keyed = captures.withColumn("sort_key", F.concat_ws(TAB, "key", F.lpad(F.coalesce(F.col("page_id"), F.lit(-1)).cast("string"), 20, "0")))
-    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // SHARD_LINES))
     # lines compare by UTF-8 bytes, here and in Spark's sort
     ordered = keyed.select("sort_key", line.alias("line")).repartitionByRange(parts, "sort_key").sortWithinPartitions("sort_key")
 
@@ -192,12 +197,14 @@ class ShardReader:
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
 
-def read_captures(lookups: DataFrame, shards: list[tuple[str, str, int]], payloads: bool = True) -> DataFrame:
+def read_captures(lookups: DataFrame, shards: list[tuple[str, str, int]], payloads: bool = True, record_bytes: int = 0) -> DataFrame:
     """Records of the looked-up (page_id, url) pairs, by way of the index; ``html`` only if asked for.
 
     ``shards`` has one entry for each partition of the index. Asked-for pairs are distinct; repeated
-    rows of the archive come back as often as they were written.
+    rows of the archive come back as often as they were written. Tasks take ranges of the index, as many as there are
+    shards, or one for each ``TASK_BYTES`` of ``record_bytes`` if that is more; a shard may be read by several.
     """
+    tasks = max(1, len(shards), -(-record_bytes // TASK_BYTES))
     firsts = [s[0].encode() for s in shards]
 
     def route(batches):
@@ -238,7 +245,7 @@ def read_captures(lookups: DataFrame, shards: list[tuple[str, str, int]], payloa
 
     asked = lookups.select(F.col("page_id").cast("long"), F.col("url").cast("string")).distinct()
     routed = asked.mapInArrow(route, "shard int, key string").distinct()
-    return routed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(run, READ)
+    return routed.repartitionByRange(tasks, "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(run, READ)
 
 
 def _read_batch(out: list[tuple]) -> pa.RecordBatch:
@@ -253,7 +260,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     captures = write_archives(deduplicated(pages), folder)
     shards = write_index(captures, folder)
-    return read_captures(pages, shards, payloads=False).drop("html", "url")
+    record_bytes = captures.agg(F.sum("length")).first()[0] or 0
+    return read_captures(pages, shards, payloads=False, record_bytes=record_bytes).drop("html", "url")
 
 
 ORACLE = """
