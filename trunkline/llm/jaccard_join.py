@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.llm.common import ByteHasher, connected_components, documents, grouped_frames, lean, mix64, packed_texts, shingle_sets, small_batches, stored, unpacked
+from trunkline.llm.common import ByteHasher, connected_components, documents, grouped_frames, lean, mix64, packed_texts, quoted, shingle_sets, small_batches, stored, unpacked
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 120, 7
