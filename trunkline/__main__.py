@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trunkline.functions.text import display_text, level_to_id
+from trunkline.functions.text import compression_ratio, display_text, format_duration, format_size
 from trunkline.operators.query import LogQuery, filter_exact_level, filter_query, search_display
-from trunkline.sources.plaintext import assemble, read_lines
+from trunkline.sources.plaintext import convert
 from trunkline.sources.trunklog import register
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="trunkline")
     do = top.add_subparsers(dest="command", required=True)
-    convert = do.add_parser("convert", help="plain text to a folder of trunk files")
+    convert = do.add_parser("convert", help="plain text to one .tog file, or to a folder with a file for each range")
     convert.add_argument("input")
     convert.add_argument("output")
     convert.add_argument("compression", nargs="?", default="gzip")
@@ -57,9 +58,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("trunkline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     register(spark)
     if args.command == "convert":
-        rows = assemble(read_lines(spark, args.input)).withColumn("level_id", level_to_id(F.col("level")))
-        ordered = rows.repartitionByRange("file", "record_index").sortWithinPartitions("file", "record_index")
-        ordered.select("timestamp_millis", "level_id", "message").write.format("trunklog").mode("overwrite").option("compression", args.compression).option("trunkSizeKb", args.trunk_kb).save(args.output)
+        began = time.monotonic()
+        done = convert(spark, args.input, args.output, args.compression, args.trunk_kb)
+        took = spark.range(1).select(
+            format_size(F.lit(done["source_bytes"])).alias("source"), format_size(F.lit(done["output_bytes"])).alias("output"), compression_ratio(F.lit(done["source_bytes"]), F.lit(done["output_bytes"])).alias("ratio"),
+            format_duration(F.lit(int((time.monotonic() - began) * 1e6))).alias("took"),
+        ).first()
+        print(f"{done['records']} records, {done['trunks']} trunks, {done['workers']} workers; {took.source} to {took.output} ({took.ratio}) in {took.took}")
         return 0
     records = spark.read.format("trunklog").load(args.input)
     shown = display_text(F.col("timestamp_millis"), F.col("level"), F.col("message")).alias("value")

@@ -44,8 +44,14 @@ def format_timestamp(millis: Column) -> Column:
     return F.date_format(F.timestamp_millis(millis), STAMP)
 
 
+def _or_error(value: Column, known: Column, what: str, given: Column) -> Column:
+    """``value`` where it is known, null for a null input, else an error."""
+    return F.when(known | given.isNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"no such {what}: "), given.cast("string"))).cast("int"))
+
+
 def level_to_id(level: Column) -> Column:
-    return (F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level) - 1).cast("int")
+    at = (F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level) - 1).cast("int")
+    return _or_error(at, at >= 0, "level", level)
 
 
 def id_to_level(level_id: Column) -> Column:
@@ -55,7 +61,16 @@ def id_to_level(level_id: Column) -> Column:
 
 
 def level_to_proto(level_id: Column) -> Column:
-    return (level_id + 1).cast("int")
+    return _or_error((level_id + 1).cast("int"), level_id.between(0, len(LEVELS) - 1), "level id", level_id)
+
+
+def proto_to_level(severity: Column) -> Column:
+    """0, which means unspecified, and unknown numbers are errors."""
+    return _or_error((severity - 1).cast("int"), severity.between(1, len(LEVELS)), "severity", severity)
+
+
+def rebuilt_timestamp(base: Column, offset: Column) -> Column:
+    return base + F.when(offset.between(0, MAX_OFFSET), offset).otherwise(F.raise_error(F.lit("a record's offset is out of range")).cast("long"))
 
 
 def level_label(level: Column) -> Column:

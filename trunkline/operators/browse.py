@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trunkline.functions.text import display_text, highlight_ranges, row_highlights, wrap_rows
-from trunkline.schema import LEVELS
+from trunkline.schema import LEVELS, MAX_TRUNK_RECORDS
 
 
 def trunk_index(records: DataFrame) -> DataFrame:
@@ -26,10 +26,26 @@ def read_window(records: DataFrame, start: int, count: int) -> DataFrame:
 
 
 def read_last_window(records: DataFrame, count: int, total: int | None = None) -> DataFrame:
-    """The last ``count`` records; without a total, the largest index is looked up first."""
-    if total is None:
-        total = (records.agg(F.max("record_index")).first()[0] or -1) + 1
-    return read_window(records, max(0, total - count), count)
+    """The last ``count`` records; without a total, the largest index is a subquery of the plan."""
+    if total is not None:
+        return read_window(records, max(0, total - count), count)
+    return records.where(F.col("record_index") > records.agg(F.max("record_index")).scalar() - F.lit(count))
+
+
+def trunk_of_record(lookups: DataFrame, index: DataFrame) -> DataFrame:
+    """``lookups`` (record_index, ...) with trunk_index, null where no trunk holds the record, and position, which is 1 more, or 0.
+
+    ``index`` has (trunk_index, record_start_index, line_count). Both sides meet by the range of ``MAX_TRUNK_RECORDS``
+    records that they fall in; a trunk falls in two at most, so this is an equi-join whatever the sizes.
+    """
+    width = MAX_TRUNK_RECORDS + 1
+    end = F.col("record_start_index") + F.col("line_count")
+    bins = F.sequence(F.floor(F.col("record_start_index") / width), F.floor((end - 1) / width))
+    held = index.where("line_count > 0").select(F.col("trunk_index").alias("_trunk"), F.col("record_start_index").alias("_from"), end.alias("_to"), F.explode(bins).alias("_bin"))
+    asked = lookups.withColumn("_bin", F.floor(F.col("record_index") / width))
+    met = (asked["_bin"] == held["_bin"]) & (F.col("record_index") >= F.col("_from")) & (F.col("record_index") < F.col("_to"))
+    out = asked.join(held, met, "left").select(*[asked[c] for c in lookups.columns if c not in ("trunk_index", "position")], F.col("_trunk").alias("trunk_index"))
+    return out.withColumn("position", F.coalesce(F.col("trunk_index") + 1, F.lit(0)))
 
 
 def page_step(page: int, height: int) -> int:
@@ -96,7 +112,7 @@ def level_filter_view(records: DataFrame, level: str, current: int, current_trun
     return rows.orderBy("visit", "lap", "within").limit(capacity).select("record_index", "line_number", "message", "visit", "lap")
 
 
-def frame_rows(records: DataFrame, keyword: str | None, width: int, focus: int) -> DataFrame:
+def wrapped(records: DataFrame, keyword: str | None, width: int, focus: int) -> DataFrame:
     """Wrapped rows of records: line number on the first row only, highlights, focus."""
     text = display_text(F.col("timestamp_millis"), F.col("level"), F.col("message"))
     ranges = highlight_ranges(F.col("content"), keyword) if keyword else F.array().cast("array<struct<start:int,end:int>>")
@@ -107,6 +123,58 @@ def frame_rows(records: DataFrame, keyword: str | None, width: int, focus: int)
     )
 
 
+def frame_rows(records: DataFrame, keyword: str | None, width: int, focus: int, capacity: int) -> DataFrame:
+    """A frame of exactly ``capacity`` rows: wrapped rows in order, cut at the capacity, and blank rows below.
+
+    A record has a row at least, so no more than ``capacity`` records are wrapped and numbered.
+    """
+    from pyspark.sql import Window
+
+    some = records.orderBy("record_index").limit(max(0, capacity))
+    numbered = wrapped(some, keyword, width, focus).withColumn("frame_row", (F.row_number().over(Window.orderBy("record_index", "row")) - 1).cast("int"))
+    grid = records.sparkSession.range(max(0, capacity)).select(F.col("id").cast("int").alias("frame_row"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return grid.join(numbered, "frame_row", "left").select(
+        "frame_row", "record_index", "line_number", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("highlight_ranges", none).alias("highlight_ranges"), F.coalesce("focused", F.lit(False)).alias("focused")
+    )
+
+
+def row_counts(records: DataFrame, width: int) -> DataFrame:
+    """(record_index, rows) that each record takes at a width."""
+    text = display_text(F.col("timestamp_millis"), F.col("level"), F.col("message"))
+    return records.select("record_index", F.size(wrap_rows(text, width)).alias("rows"))
+
+
+def bottom_page(records: DataFrame, width: int, capacity: int, visible: int, total: int | None = None) -> DataFrame:
+    """(record_index, rows): of the last ``visible`` records, those that are left when leading ones go until all rows fit."""
+    from pyspark.sql import Window
+
+    below = Window.orderBy(F.desc("record_index")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = row_counts(read_last_window(records, visible, total), width)  # ``visible`` rows at most
+    return sized.withColumn("_upto", F.sum("rows").over(below)).where(F.col("_upto") <= capacity).drop("_upto")
+
+
+def resolve_top(records: DataFrame, top: int, current: int, width: int, capacity: int, visible: int) -> int:
+    """Where the viewport begins: it moves only as far as the focus would leave it, counting wrapped rows."""
+    top = max(min(top, current), current + 1 - max(1, visible))
+    before = sorted(row_counts(read_window(records, top, current - top), width).collect())  # fewer than ``visible`` rows
+    rows = sum(r.rows for r in before)
+    for r in before:
+        if rows <= max(0, capacity - 1):
+            break
+        rows -= r.rows
+        top += 1
+    return top
+
+
+def batch_of(trunk: Column, total: Column, workers: int) -> Column:
+    """The batch, from 0, of a trunk among ``total``: contiguous groups, the first ones one longer where it doesn't come out even."""
+    groups = F.least(F.lit(workers), total)
+    each, more = F.floor(total / groups), total % groups
+    ahead = more * (each + 1)
+    return F.when(trunk < ahead, F.floor(trunk / (each + 1))).otherwise(more + F.floor((trunk - ahead) / F.greatest(each, F.lit(1)))).cast("long")
+
+
 def batch_summary(records: DataFrame) -> DataFrame:
     """(batch, n, first_ts, last_ts, violation): whether a batch starts before the one before it ended. ``batch`` is a column."""
     from pyspark.sql import Window

@@ -14,24 +14,24 @@ class Fill:
     """Sequential fill of one file: how many times it has rotated, and the bytes that it holds.
 
     A text file rotates before a write that would pass ``limit``; with ``after``, a trunk file
-    rotates once a write has passed it. A limit of 0 or less never rotates.
+    rotates once a write has passed it. A limit of 0 or less never rotates. A new file holds ``begin`` bytes.
     """
 
-    def __init__(self, limit: int, after: bool = False) -> None:
-        self.limit, self.after, self.turn, self.held = limit, after, 0, 0
+    def __init__(self, limit: int, after: bool = False, begin: int = 0) -> None:
+        self.limit, self.after, self.turn, self.begin, self.held = limit, after, 0, begin, begin
 
     def take(self, size: int) -> int:
         """Rotations before the write of ``size`` bytes."""
-        if not self.after and self.held and 0 < self.limit < self.held + size:
-            self.turn, self.held = self.turn + 1, 0
+        if not self.after and self.held > self.begin and 0 < self.limit < self.held + size:
+            self.turn, self.held = self.turn + 1, self.begin
         mine = self.turn
         self.held += size
         if self.after and 0 < self.limit < self.held:
-            self.turn, self.held = self.turn + 1, 0
+            self.turn, self.held = self.turn + 1, self.begin
         return mine
 
 
-def rotated(rows: DataFrame, target: str, size: str, order: str, limit: int, after: bool = False) -> DataFrame:
+def rotated(rows: DataFrame, target: str, size: str, order: str, limit: int, after: bool = False, begin: int = 0) -> DataFrame:
     """``rows`` (target, order, size) with ``segment``: the rotation count of the target's file at each row.
 
     The fill is sequential, so a target is one task; it streams over sorted batches and holds two
@@ -45,7 +45,7 @@ def rotated(rows: DataFrame, target: str, size: str, order: str, limit: int, aft
             out = np.zeros(batch.num_rows, dtype=np.int64)
             for i, (mine, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 if mine != name:
-                    name, fill = mine, Fill(limit, after)
+                    name, fill = mine, Fill(limit, after, begin)
                 out[i] = fill.take(n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[target, order, size, "segment"])
 

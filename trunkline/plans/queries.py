@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +10,8 @@ from trunkline.functions import text as T
 from trunkline.operators import browse as B
 from trunkline.operators.query import LogQuery, filter_exact_level, filter_query, filter_thresholds, search_display
 from trunkline.operators.rotation import retained, rotated
-from trunkline.schema import LEVELS, events_as_log
-from trunkline.sources import trunklog
-from trunkline.sources.plaintext import assemble, restored
+from trunkline.schema import events_as_log
+from trunkline.sources.plaintext import assemble
 from trunkline.sources.protobuf import decoded_records, encoded_records
 
 BASE_SQL = """WITH lg AS (SELECT epoch_us(ts) // 1000 AS timestamp_millis,
@@ -65,6 +59,11 @@ def shown():
     return T.display_text(ts(), lvl(), msg())
 
 
+def _base(d: DataFrame) -> F.Column:
+    """The log's first time stamp, as a subquery."""
+    return d.agg(F.min("timestamp_millis")).scalar()
+
+
 KEYS = ["record_index", "timestamp_millis", "level_id", "message"]
 SQL_KEYS = "record_index, timestamp_millis, level_id, message"
 LATE = 1_900_000_000_000
@@ -72,8 +71,6 @@ LATE = 1_900_000_000_000
 # ---- filters
 simple("filter_query", lambda d: filter_query(d, LogQuery(START, LATE, "WARN", "user=1")).select("record_index", shown().alias("display")),
        f"SELECT record_index, {SHOWN} AS display FROM lg WHERE timestamp_millis BETWEEN {START} AND {LATE} AND level_id >= 3 AND contains(message, 'user=1')")
-simple("scan_query", lambda d: filter_query(d, LogQuery(minimum_level="INFO", keyword="k")).select(*KEYS), f"SELECT {SQL_KEYS} FROM lg WHERE level_id >= 2 AND contains(message, 'k')")
-simple("scan_full", lambda d: d.select(*KEYS), f"SELECT {SQL_KEYS} FROM lg")
 simple("filter_time_start", lambda d: filter_query(d, LogQuery(start=START + 864_000_000)).select(*KEYS), f"SELECT {SQL_KEYS} FROM lg WHERE timestamp_millis >= {START + 864_000_000}")
 simple("filter_time_end", lambda d: filter_query(d, LogQuery(end=START + 864_000_000)).select(*KEYS), f"SELECT {SQL_KEYS} FROM lg WHERE timestamp_millis <= {START + 864_000_000}")
 simple("filter_min_level", lambda d: filter_query(d, LogQuery(minimum_level="WARN")).select(*KEYS), f"SELECT {SQL_KEYS} FROM lg WHERE level_id >= 3")
@@ -85,13 +82,11 @@ simple("filter_thresholds", lambda d: filter_thresholds(d, "DEBUG", {"console":
 
 # ---- projections
 simple("display_text", lambda d: d.select("record_index", shown().alias("display")), f"SELECT record_index, {SHOWN} AS display FROM lg")
-simple("restore", lambda d: restored(d), f"SELECT record_index, {SHOWN} AS text FROM lg")
-simple("write_text", lambda d: d.select("record_index", F.concat(T.format_timestamp(ts()), F.lit(" ["), lvl(), F.lit("] "), msg(), F.lit("\n")).alias("line")), f"SELECT record_index, {SHOWN} || chr(10) AS line FROM lg")
 simple("format_timestamp", lambda d: d.select("record_index", T.format_timestamp(ts()).alias("stamp")), "SELECT record_index, stamp FROM lg")
 simple("parse_timestamp", lambda d: d.select("record_index", T.parse_timestamp(T.format_timestamp(ts())).alias("millis")), "SELECT record_index, timestamp_millis AS millis FROM lg")
-simple("offset_millis", lambda d: d.crossJoin(F.broadcast(d.agg(F.min("timestamp_millis").alias("base")))).select("record_index", T.checked_offset(ts(), F.col("base")).alias("offset_millis")),
+simple("offset_millis", lambda d: d.select("record_index", T.checked_offset(ts(), _base(d)).alias("offset_millis")),
        "SELECT record_index, timestamp_millis - (SELECT min(timestamp_millis) FROM lg) AS offset_millis FROM lg")
-simple("rebuild_timestamp", lambda d: d.select("record_index", (F.lit(START) + (ts() - START)).alias("millis")), "SELECT record_index, timestamp_millis AS millis FROM lg")
+simple("rebuild_timestamp", lambda d: d.select("record_index", T.rebuilt_timestamp(_base(d), T.checked_offset(ts(), _base(d)).cast("string").cast("long")).alias("millis")), "SELECT record_index, timestamp_millis AS millis FROM lg")
 simple("level_to_id", lambda d: d.select("record_index", T.level_to_id(lvl()).alias("id")), "SELECT record_index, level_id::INT AS id FROM lg")
 simple("id_to_level", lambda d: d.select("record_index", T.id_to_level(F.col("level_id")).alias("name")), "SELECT record_index, level AS name FROM lg")
 simple("level_to_proto", lambda d: d.select("record_index", T.level_to_proto(F.col("level_id")).alias("id")), "SELECT record_index, (level_id + 1)::INT AS id FROM lg")
@@ -175,7 +170,8 @@ for _rule, _sql in {
     simple(f"mask_var_{_rule}", lambda d, r=_rule: d.select("record_index", M.mask_variable("v", _value(), {"v": r}).alias("m")), f"SELECT record_index, {_sql} AS m FROM lg")
 simple("mask_var_email", lambda d: d.select("record_index", M.mask_variable("v", F.concat(F.when(F.col("level_id") > 1, F.lit("ab")).otherwise(F.lit("a")), F.lit("@x"), _value()), {"v": "email"}).alias("m")),
        f"SELECT record_index, CASE WHEN level_id > 1 THEN 'a***@x' || {_VALUE} ELSE '***' END AS m FROM lg")
-simple("mask_variable", lambda d: d.select("record_index", M.mask_variable("plain", _value(), {"other": "password"}).alias("m")), f"SELECT record_index, {_VALUE} AS m FROM lg")
+simple("mask_variable", lambda d: d.select("record_index", M.mask_variable("plain", _value(), {"other": "password"}).alias("m"), M.mask_variable("other", F.when(F.col("level_id") > 1, _value()), {"other": "Password"}).alias("n")),
+       f"SELECT record_index, {_VALUE} AS m, CASE WHEN level_id > 1 THEN '******' ELSE '' END AS n FROM lg")
 
 
 def _vars():
@@ -188,10 +184,9 @@ simple("render_pattern", lambda d: d.select("record_index", M.render_pattern(_pa
 simple("format_line", lambda d: d.select("record_index", T.display_text(ts(), lvl(), M.render_pattern("[%logger] [%context] %message", msg(), F.col("source"), F.col("context"), _vars(), environ={})).alias("line")),
        "SELECT record_index, stamp || ' [' || level || '] [events] [' || context || '] ' || message AS line FROM lg")
 simple("context_put", lambda d: d.select("record_index", F.to_json(M.context_put(M.context_put(_vars(), "a", "1"), "id", None)).alias("vars")), """SELECT record_index, '{"a":"1"}' AS vars FROM lg""")
-simple("context_remove", lambda d: d.select("record_index", F.size(M.context_remove(_vars(), "id")).alias("n"), F.size(M.context_clear()).alias("c")), "SELECT record_index, 0 AS n, 0 AS c FROM lg")
-simple("context_snapshot", lambda d: d.select("record_index", F.element_at(_vars(), "id").alias("id")), f"SELECT record_index, 'REQ-' || lpad({_VALUE}, 6, '0') AS id FROM lg")
+simple("context_remove", lambda d: d.select("record_index", F.size(M.context_remove(_vars(), "id")).alias("n"), F.size(M.context_remove(_vars(), None)).alias("m")), "SELECT record_index, 0 AS n, 1 AS m FROM lg")
+simple("context_clear", lambda d: d.select("record_index", F.to_json(M.context_put(M.context_clear(), "a", "1")).alias("vars")), """SELECT record_index, '{"a":"1"}' AS vars FROM lg""")
 simple("placeholder_default", lambda d: d.select("record_index", F.coalesce(F.element_at(_vars(), M.placeholder("x:-y:-z")[0]), F.lit(M.placeholder("x:-y:-z")[1])).alias("v")), "SELECT record_index, 'y:-z' AS v FROM lg")
-simple("logger_api", lambda d: d.select("record_index", lvl().alias("level"), F.col("source").alias("logger"), msg().alias("message")), "SELECT record_index, level, 'events' AS logger, message FROM lg")
 simple("split_by_level", lambda d: d.select("record_index", M.split_by_level_path("logs/app.log", lvl()).alias("a"), M.split_by_level_path("logs/%level.log", lvl()).alias("b"), M.split_by_level_path("app", lvl()).alias("c")),
        "SELECT record_index, 'logs/app-' || lower(level) || '.log' AS a, 'logs/' || lower(level) || '.log' AS b, 'app-' || lower(level) AS c FROM lg")
 simple("archive_name", lambda d: d.select("record_index", M.archive_name(F.lit("a-%i.log"), F.col("level_id")).alias("a"), M.archive_name(F.lit("a.log"), F.col("level_id")).alias("b")),
@@ -201,16 +196,16 @@ simple("archive_name", lambda d: d.select("record_index", M.archive_name(F.lit("
 _INDEX = "(SELECT trunk_index, min(record_index) AS record_start_index, count(*) AS line_count, sum(9 + strlen(message))::BIGINT AS raw_bytes FROM lg GROUP BY 1)"
 simple("trunk_index", B.trunk_index, f"SELECT * FROM {_INDEX}")
 simple("total_records", lambda d: B.total_records(B.trunk_index(d)), f"SELECT sum(line_count)::BIGINT AS total_records, count(*) AS trunk_count FROM {_INDEX}")
-simple("read_trunk", lambda d: d.where("trunk_index = 7").select(*KEYS), f"SELECT {SQL_KEYS} FROM lg WHERE trunk_index = 7")
-simple("trunk_of_record", lambda d: d.select("record_index", "trunk_index", (F.col("trunk_index") + 1).alias("position")), "SELECT record_index, trunk_index, trunk_index + 1 AS position FROM lg")
-simple("trunk_position", lambda d: d.select("record_index", F.coalesce(F.col("trunk_index") + 1, F.lit(0)).alias("position")), "SELECT record_index, trunk_index + 1 AS position FROM lg")
+_ASKED = "SELECT record_index * 3 AS record_index FROM lg"
+_OWNER = f"SELECT a.record_index, i.trunk_index, coalesce(i.trunk_index + 1, 0) AS position FROM ({_ASKED}) a LEFT JOIN {_INDEX} i ON a.record_index >= i.record_start_index AND a.record_index < i.record_start_index + i.line_count"
+simple("trunk_of_record", lambda d: B.trunk_of_record(d.select((F.col("record_index") * 3).alias("record_index")), B.trunk_index(d)).select("record_index", "trunk_index"), f"SELECT record_index, trunk_index FROM ({_OWNER})")
+simple("trunk_position", lambda d: B.trunk_of_record(d.select((F.col("record_index") * 3).alias("record_index")), B.trunk_index(d)).select("record_index", "position"), f"SELECT record_index, position FROM ({_OWNER})")
+simple("trunk_count", lambda d: B.total_records(B.trunk_index(d)).select("trunk_count"), f"SELECT count(*) AS trunk_count FROM {_INDEX}")
 simple("trunk_record_start", lambda d: B.trunk_index(d).select("trunk_index", "record_start_index"), f"SELECT trunk_index, record_start_index FROM {_INDEX}")
-simple("scan_trunk_order", lambda d: d.where(F.col("trunk_index").isin(5, 2, 9)).select(F.array_position(F.array(F.lit(5), F.lit(2), F.lit(9)), F.col("trunk_index")).cast("int").alias("pos"), "record_index"),
-       "SELECT list_position([5, 2, 9], trunk_index)::INT AS pos, record_index FROM lg WHERE trunk_index IN (5, 2, 9)")
 simple("read_window", lambda d: B.read_window(d, 700, 900).select(*KEYS), f"SELECT {SQL_KEYS} FROM lg WHERE record_index >= 700 AND record_index < 1600")
 simple("read_last_window", lambda d: B.read_last_window(d, 300).select(*KEYS), f"SELECT {SQL_KEYS} FROM lg ORDER BY record_index DESC LIMIT 300")
 for _name, _step in {"move_down": 1, "move_up": -1, "page_down": B.page_step(200, 40), "page_up": -B.page_step(200, 40), "quarter_page_down": B.quarter_step(39), "move_to_top": -(1 << 40), "move_to_bottom": 1 << 40}.items():
-    simple(_name, lambda d, s=_step: d.crossJoin(F.broadcast(d.agg(F.count("*").alias("total")))).select("record_index", B.moved(F.col("record_index"), F.col("total"), s).alias("moved")),
+    simple(_name, lambda d, s=_step: d.select("record_index", B.moved(F.col("record_index"), d.agg(F.count("*")).scalar(), s).alias("moved")),
            f"SELECT record_index, greatest(0, least(record_index + {_step}, (SELECT count(*) FROM lg) - 1)) AS moved FROM lg")
 simple("jump_to_line", lambda d: d.where(F.col("record_index") == B.jump_target(128, 1000)).select(*KEYS), f"SELECT {SQL_KEYS} FROM lg WHERE record_index = 127")
 simple("trunk_visit_order", lambda d: B.trunk_index(d).select("trunk_index", B.visit_rank(F.col("trunk_index"), 7).alias("rank")),
@@ -237,22 +232,29 @@ simple("wrap_rows", lambda d: d.select("record_index", F.posexplode(T.wrap_rows(
 simple("row_highlights", lambda d: d.select("record_index", F.size(T.row_highlights(T.highlight_ranges(msg(), "user"), F.lit(0), F.lit(8))).alias("n")), "SELECT record_index, (CASE WHEN strpos(message, 'user') BETWEEN 1 AND 8 THEN 1 ELSE 0 END)::INT AS n FROM lg")
 simple("line_number_width", lambda d: d.agg(T.line_number_width(F.count("*")).alias("w")), "SELECT greatest(6, length(count(*)::VARCHAR))::INT AS w FROM lg")
 simple("content_width", lambda d: d.agg(T.content_width(F.lit(80), T.line_number_width(F.count("*"))).alias("w")), "SELECT greatest(1, 80 - greatest(6, length(count(*)::VARCHAR)) - 2)::INT AS w FROM lg")
-simple("frame_rows", lambda d: B.frame_rows(B.read_window(d, 100, 40), "user", 40, 110).select("record_index", "row", "line_number", "content", "focused"),
-       f"SELECT record_index, i::INT AS row, CASE WHEN i = 0 THEN (record_index + 1)::VARCHAR END AS line_number, substr(txt, i * 40 + 1, 40) AS content, record_index = 110 AS focused FROM (SELECT record_index, {SHOWN} AS txt FROM lg WHERE record_index >= 100 AND record_index < 140), range(0, 20) t(i) WHERE i < greatest(1, ceil(length(txt) / 40.0))")
+_FRAME = f"SELECT record_index, i::INT AS row, CASE WHEN i = 0 THEN (record_index + 1)::VARCHAR END AS line_number, substr(txt, i * 40 + 1, 40) AS content, record_index = 110 AS focused, (row_number() OVER (ORDER BY record_index, i) - 1)::INT AS frame_row FROM (SELECT record_index, {SHOWN} AS txt FROM lg WHERE record_index >= {{}} AND record_index < {{}}), range(0, 20) t(i) WHERE i < greatest(1, ceil(length(txt) / 40.0))"
+_FRAMES = "SELECT n::INT AS frame_row, record_index, line_number, coalesce(content, '') AS content, coalesce(focused, false) AS focused FROM range(0, 50) t(n) LEFT JOIN ({}) ON frame_row = n"
+for _name, _lo, _hi in (("frame_rows", 100, 140), ("frame_rows_padded", 105, 112)):
+    simple(_name, lambda d, a=_lo, b=_hi: B.frame_rows(B.read_window(d, a, b - a), "user", 40, 110, 50).select("frame_row", "record_index", "line_number", "content", "focused"), _FRAMES.format(_FRAME.format(_lo, _hi)))
 simple("header_text", lambda d: B.total_records(B.trunk_index(d)).select(F.format_string("Trunkline | file=%s | records=%d | trunks=%d/%d | line=%d", F.lit("events"), "total_records", F.lit(1), "trunk_count", F.lit(1)).alias("header")),
        f"SELECT 'Trunkline | file=events | records=' || sum(line_count)::BIGINT || ' | trunks=1/' || count(*) || ' | line=1' AS header FROM {_INDEX}")
-simple("bottom_page", lambda d: B.read_last_window(d, 50).select("record_index", F.size(T.wrap_rows(shown(), 40)).alias("rows")), f"SELECT record_index, greatest(1, ceil(length({SHOWN}) / 40.0))::INT AS rows FROM lg ORDER BY record_index DESC LIMIT 50")
+_COUNTED = f"SELECT record_index, greatest(1, ceil(length({SHOWN}) / 40.0))::INT AS rows FROM lg"
+simple("bottom_page", lambda d: B.bottom_page(d, 40, 31, 50),
+       f"SELECT record_index, rows FROM (SELECT *, sum(rows) OVER (ORDER BY record_index DESC) AS upto FROM ({_COUNTED}) ORDER BY record_index DESC LIMIT 50) WHERE upto <= 31")
 
-# ---- packing, batches, order
 
+@query("resolve_viewport", f"""SELECT min(top) AS top FROM (SELECT t.top, sum(c.rows) AS before FROM (SELECT greatest(100, 401 - 15) + i AS top FROM range(0, 15) r(i)) t LEFT JOIN ({_COUNTED}) c ON c.record_index >= t.top AND c.record_index < 400 GROUP BY t.top)
+  WHERE coalesce(before, 0) <= 19 AND top <= 400""")
+def resolve_viewport(spark, sf_dir):
+    """From record 100 at the top to record 400 in focus, in a view of 20 rows and 15 records."""
+    top = B.resolve_top(events_as_log(spark, sf_dir), 100, 400, 40, 20, 15)
+    return spark.createDataFrame([(top,)], "top long")
 
-@query("assign_batches", f"SELECT trunk_index, ntile(6) OVER (ORDER BY trunk_index) AS batch FROM {_INDEX}")
-def assign_batches(spark, sf_dir):
-    from pyspark.sql import Window
 
-    return B.trunk_index(events_as_log(spark, sf_dir)).select("trunk_index", F.ntile(6).over(Window.orderBy("trunk_index")).alias("batch"))  # one row a trunk
+# ---- packing, batches, order
 
 
+simple("assign_batches", lambda d: B.trunk_index(d).select("trunk_index", B.batch_of(F.col("trunk_index"), B.trunk_index(d).agg(F.count("*")).scalar(), 6).alias("batch")), f"SELECT trunk_index, ntile(6) OVER (ORDER BY trunk_index) - 1 AS batch FROM {_INDEX}")
 simple("batch_summary", lambda d: B.batch_summary(d.withColumn("batch", F.floor(F.col("trunk_index") / 4).cast("int"))),
        "SELECT batch, n, first_ts, last_ts, coalesce(first_ts < lag(last_ts) OVER (ORDER BY batch), false) AS violation FROM (SELECT (trunk_index // 4)::INT AS batch, count(*) AS n, min(timestamp_millis) AS first_ts, max(timestamp_millis) AS last_ts FROM lg GROUP BY 1)")
 
@@ -269,56 +271,8 @@ def order_check(spark, sf_dir):
 def generate_fixture(spark, sf_dir):
     """A log repeated three times, each time moved by its span and a millisecond."""
     log = events_as_log(spark, sf_dir)
-    span = log.agg((F.max("timestamp_millis") - F.min("timestamp_millis") + 1).alias("span"))
-    return log.crossJoin(F.broadcast(span)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>"))).select("chunk", "record_index", (F.col("timestamp_millis") + F.col("chunk") * F.col("span")).alias("timestamp_millis"), "message")
-
-
-# ---- trunk files
-
-
-def _round_trip(spark: SparkSession, sf_dir: str, codec: str = "gzip", trunk_kb: int = 64, keep: F.Column | None = None) -> str:
-    """The log view as trunk files, a file for each partition of a range sort, or its rows ``keep`` as one file; the folder's path."""
-    trunklog.register(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = os.path.join(trunklog.local(base), "trunkline", f"log-{uuid.uuid4().hex[:12]}")
-    log = events_as_log(spark, sf_dir)
-    log = (log.repartitionByRange(4, "record_index") if keep is None else log.where(keep).repartition(1)).sortWithinPartitions("record_index")
-    log.select("timestamp_millis", "level_id", "message").write.format("trunklog").mode("overwrite").option("compression", codec).option("trunkSizeKb", trunk_kb).save(path)
-    return path
-
-
-def _write_query(codec: str):
-    def run(spark, sf_dir):
-        return spark.read.format("trunklog").option("mode", "strict").load(_round_trip(spark, sf_dir, codec)).select("timestamp_millis", "level_id", "level", "message")
-
-    return run
-
-
-_RECORDS = "SELECT timestamp_millis, level_id::INT AS level_id, level, message FROM lg"
-for _codec in ("none", "gzip", "zip", "deflate", "bzip2", "xz", "zstd", "snappy"):
-    query(f"codec_{_codec}", _RECORDS)(_write_query(_codec))
-query("write_trunks", _RECORDS)(_write_query("gzip"))
-query("convert", _RECORDS)(_write_query("zstd"))
-
-
-@query("trunk_file_index", "SELECT count(*) AS records FROM lg")
-def trunk_file_index(spark, sf_dir):
-    return spark.read.format("trunklog_index").load(_round_trip(spark, sf_dir)).agg(F.sum("line_count").cast("long").alias("records"))
-
-
-@query("pushed_window", "SELECT record_index % 1000000 AS n, count(*) AS rows FROM (SELECT 100 + i AS record_index FROM range(0, 50) t(i)) WHERE record_index >= 0 GROUP BY 1 HAVING false")
-def pushed_window(spark, sf_dir):
-    """A window that no trunk holds: every trunk is pruned and nothing is read."""
-    rows = spark.read.format("trunklog").load(_round_trip(spark, sf_dir)).where("record_index >= 1000000000")
-    return rows.groupBy((F.col("record_index") % 1_000_000).alias("n")).agg(F.count("*").alias("rows"))
-
-
-@query("pushed_window_cut", "SELECT * FROM (SELECT timestamp_millis, level_id::INT AS level_id, message, row_number() OVER (PARTITION BY record_index % 4 ORDER BY record_index) - 1 AS record_index FROM lg) WHERE record_index >= 60 AND record_index < 180")
-def pushed_window_cut(spark, sf_dir):
-    """A window that cuts through trunks of four files: only some trunks are read, and parts of those at its ends."""
-    parts = [_round_trip(spark, sf_dir, trunk_kb=1, keep=F.pmod("record_index", F.lit(4)) == k) for k in range(4)]
-    rows = [spark.read.format("trunklog").load(path).where("record_index >= 60 AND record_index < 180") for path in parts]
-    return reduce(DataFrame.unionByName, rows).select("timestamp_millis", "level_id", "message", "record_index")
+    span = log.agg(F.max("timestamp_millis") - F.min("timestamp_millis") + 1).scalar()
+    return log.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>"))).select("chunk", "record_index", (F.col("timestamp_millis") + F.col("chunk") * span).alias("timestamp_millis"), "message")
 
 
 # ---- rotation
@@ -357,3 +311,6 @@ def proto_record(spark, sf_dir):
     """Records to messages and back."""
     log = events_as_log(spark, sf_dir).withColumn("attributes", F.create_map(F.lit("format"), F.lit("trunk")))
     return decoded_records(encoded_records(log)).drop("attributes")
+
+
+from trunkline.plans import file_queries  # noqa: E402, F401  adds its queries to those here

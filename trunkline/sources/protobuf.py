@@ -91,6 +91,18 @@ def decode_record(data: bytes) -> tuple:
     return millis, level - 1, texts[3], texts[4], texts[5], pairs
 
 
+class ProtobufCodec:
+    """One record at a time: (millis, level id, source, context, message, attributes) to bytes and back."""
+
+    name = "protobuf"
+
+    def encode(self, record: tuple) -> bytes:
+        return encode_record(*record)
+
+    def decode(self, data: bytes) -> tuple:
+        return decode_record(data)
+
+
 def encode_query(q: LogQuery) -> bytes:
     level = None if q.minimum_level is None else LEVELS.index(q.minimum_level) + 1
     numbers = b"".join(block(tag, number(1, n), True) for tag, n in ((1, q.start), (2, q.end), (3, level)) if n is not None)

@@ -7,20 +7,19 @@ runs again after a failure replaces its own files, rejects and mark, so nothing
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from trunkline.sources.trunklog import local, register
+from trunkline.sources import store
+from trunkline.sources.trunklog import register
 
 
 def last_committed(path: str, batch: int) -> int | None:
     """Greatest time stamp of the batches before ``batch``; the name of each mark holds it."""
-    marks = [re.fullmatch(r"(\d+)_(-?\d+)", os.path.basename(f)) for f in glob.glob(os.path.join(glob.escape(path), "_marks", "*"))]
+    marks = [re.search(r"/(\d+)_(-?\d+)$", f) for f in store.listed(store.join(path, "_marks")) or []]
     return max((int(m[2]) for m in marks if m and int(m[1]) < batch), default=None)
 
 
@@ -29,9 +28,9 @@ def append_batch(rows: DataFrame, batch: int, path: str, rejected: str, codec: s
 
     A null time stamp has no place in the order and is set aside too.
     """
-    spark, folder, prefix = rows.sparkSession, local(path), f"batch-{batch:012d}-"
+    spark, prefix = rows.sparkSession, f"batch-{batch:012d}-"
     register(spark)
-    last = last_committed(folder, batch)
+    last = last_committed(path, batch)
     ts = F.col("timestamp_millis")
     fits = ts.isNotNull() if last is None else F.coalesce(ts >= last, F.lit(False))
     rows.where(~fits).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/batch={batch}")
@@ -39,12 +38,11 @@ def append_batch(rows: DataFrame, batch: int, path: str, rejected: str, codec: s
     ordered = good.select("timestamp_millis", "level_id", "message").repartitionByRange("timestamp_millis").sortWithinPartitions("timestamp_millis")
     ordered.write.format("trunklog").mode("overwrite").option("prefix", prefix).option("compression", codec).option("trunkSizeKb", trunk_kb).save(path)
     top = good.agg(F.max("timestamp_millis")).first()[0]
-    marks = os.path.join(folder, "_marks")
-    os.makedirs(marks, exist_ok=True)
-    for old in glob.glob(os.path.join(glob.escape(marks), f"{batch:012d}_*")):
-        os.remove(old)
+    marks = store.join(path, "_marks")
+    for old in store.listed(marks, prefix=f"{batch:012d}_") or []:
+        store.remove(old)
     if top is not None:
-        open(os.path.join(marks, f"{batch:012d}_{top}"), "w").close()
+        store.writer(store.join(marks, f"{batch:012d}_{top}")).close()
 
 
 def append_stream(rows: DataFrame, path: str, rejected: str, checkpoint: str, codec: str = "gzip", trunk_kb: int = 512) -> DataStreamWriter:

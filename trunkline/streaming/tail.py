@@ -8,15 +8,14 @@ trunks. Driver state is three numbers a file; the trunks are read by the tasks.
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSourceStreamReader
 
+from trunkline.sources import store
 from trunkline.sources.codec import HEADER, read_header
-from trunkline.sources.trunklog import TRUNKS_PER_TASK, Trunks, TrunkReader, local
+from trunkline.sources.trunklog import TRUNKS_PER_TASK, Trunks, TrunkReader, log_files
 
 START = [0, HEADER.size, 0]
 TRUNK_HEAD = 6
@@ -25,11 +24,11 @@ TRUNK_HEAD = 6
 def new_trunks(file: str, passed: list[int], upto: int | None = None) -> tuple[dict | None, list[tuple[int, int, int, int, int]]]:
     """(header, [(trunk, payload offset, first record, records, payload bytes)]) after ``passed``, before trunk ``upto``."""
     trunk, at, record = passed
-    size = os.path.getsize(file) if os.path.exists(file) else 0
+    size = store.size(file)
     if size < HEADER.size:
         return None, []
     found = []
-    with open(file, "rb") as f:
+    with store.reader(file) as f:
         header = read_header(f.read(HEADER.size))
         last = header["trunks"] if upto is None else upto
         while trunk < last and at + TRUNK_HEAD <= size:
@@ -46,11 +45,11 @@ def new_trunks(file: str, passed: list[int], upto: int | None = None) -> tuple[d
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.options = options
-        self.path = local(options["path"])
+        self.path = options["path"]
         self.seen: dict[str, list[int]] = {}
 
     def _files(self) -> list[str]:
-        return sorted(glob.glob(os.path.join(glob.escape(self.path), "*.tog"))) if os.path.isdir(self.path) else [self.path]
+        return log_files(self.path)
 
     def initialOffset(self) -> dict:
         return {}
