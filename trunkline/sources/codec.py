@@ -154,7 +154,7 @@ def compress(data: bytes, codec: str) -> bytes:
         from zstandard import ZstdCompressor
 
         return ZstdCompressor().compress(data)
-    return {"none": bytes, "gzip": lambda d: gzip.compress(d, mtime=0), "bzip2": bz2.compress, "xz": lzma.compress, "snappy": snappy_framed}[codec](data)
+    return {"none": bytes, "gzip": lambda d: gzip.compress(d, 6, mtime=0), "bzip2": bz2.compress, "xz": lzma.compress, "snappy": snappy_framed}[codec](data)
 
 
 def decompress(data: bytes, codec: str) -> bytes:

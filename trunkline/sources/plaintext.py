@@ -28,8 +28,9 @@ START_BYTES = STAMP_BYTES + 1
 #: What stands between the digits of a time stamp, by position (fixed values).
 MARKS = {4: "-", 7: "-", 10: " ", 13: ":", 16: ":", 19: ",", 23: " "}
 DIGITS = np.array([i for i in range(STAMP_BYTES) if i not in MARKS])
-SCAN_BYTES = 1 << 20
+FIRST_SCAN, SCAN_BYTES = 4096, 1 << 20
 RANGE_BYTES = 64 << 20
+LEAST_RANGE = 8 << 20
 MOST_RANGES = 20_000
 LF, CR = 10, 13
 
@@ -94,10 +95,11 @@ def find_record_start(file, offset: int, size: int) -> int | None:
         file.seek(offset - 1)
         if file.read(1) != b"\n":
             at = None
-    where, held = offset, b""  # held: from the last line start that may still become a record's
+    where, held, ask = offset, b"", min(FIRST_SCAN, SCAN_BYTES)  # held: from the last line start that may still become a record's
     while where < size:
         file.seek(where)
-        piece = file.read(min(SCAN_BYTES, size - where))
+        piece = file.read(min(ask, size - where))
+        ask = min(2 * ask, SCAN_BYTES)
         if not piece:
             return None
         block = np.frombuffer(held + piece, np.uint8)
@@ -353,7 +355,7 @@ def first_stamp(path: str) -> int | None:
 PARTS = "part long, file string, records long, trunks long, first_ts long, last_ts long, source_bytes long, bytes long"
 
 
-def convert(spark: SparkSession, source: str, target: str, codec: str = "gzip", trunk_kb: int = DEFAULT_TRUNK_KB, step: int = RANGE_BYTES) -> dict:
+def convert(spark: SparkSession, source: str, target: str, codec: str = "gzip", trunk_kb: int = DEFAULT_TRUNK_KB, step: int | None = None) -> dict:
     """One plaintext log to one trunk file (``target`` ends in .tog), or to a folder with a file for each range.
 
     A task takes a byte range, plans trunks within it, and writes them; the driver gets one row a
@@ -367,6 +369,8 @@ def convert(spark: SparkSession, source: str, target: str, codec: str = "gzip",
     size, base = store.size(source), first_stamp(source)
     single = target.endswith(".tog")
     folder = f"{target}-parts-{uuid.uuid4().hex[:8]}" if single else target
+    if step is None:  # some ranges a core, so that all end at about one time
+        step = min(RANGE_BYTES, max(LEAST_RANGE, size // (4 * spark.sparkContext.defaultParallelism)))
     step = range_bytes(size, step)
     ranges = [(i, at, min(at + step, size)) for i, at in enumerate(range(0, size, step))] if base is not None else []
 
