@@ -334,7 +334,7 @@ def _salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "in
     """``left`` joined with ``right``, which has one row a key; rows of ``left`` that share a key are dealt over ``SALTS`` tasks by column ``by``."""
     salted = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [key, "salt"], how).drop("salt")
+    return salted.join(copies.hint("merge"), [key, "salt"], how).drop("salt")  # sizes are estimated without the copies
 
 
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:

@@ -17,12 +17,11 @@ each document gets the smallest doc_id that it reaches by links.
    sizes or the greatest possible overlap rule out a link, or when both are known to be in
    one component; leaves compare whole sets.
 4. What is left are pairs of classes with a common bucket that stand in different blocks and
-   different components. So buckets are looked through once more: those with members of several
-   blocks and components get a tree of their own, buckets of equal members only once. A bucket
-   beyond ``BLOCK`` members is cut by size and hash, and pairs of its cuts follow only where one has
-   a member outside the bucket's first component. A family that chance collisions have strung
-   together costs its collisions, not the square of its size, and no pair that may still matter
-   is left out.
+   different components; at least one of the two is outside its family's largest component. So in
+   families with several blocks and components, classes outside are cut into blocks of their own, which are joined with each
+   other and with all the rest. Where that costs more than looking through the family's buckets once more, as in families
+   that chance collisions have strung together, the same is done bucket by bucket: only buckets with several blocks
+   and components, buckets of equal members once. Both leave out no pair that may still matter.
 
 Shingles are compared as 64-bit hashes (words beyond 64 bytes by BLAKE2b), sets of equal digest
 (128 bits) as equal.
@@ -218,37 +217,63 @@ def _block_links(rows: DataFrame, words: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
+def _cut_and_paired(members: DataFrame) -> DataFrame:
+    """(task, side, rep, component) of groups: members (group, rep, component, n_shingles, odd).
+
+    A group of ``BLOCK`` members at most is one task. Larger ones are cut by ``odd``, size and hash; the odd
+    parts meet each other, themselves and the rest, as far as sizes allow a link.
+    """
+    band = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("long")
+    members = stored(members.withColumn("band", band), "jaccard-members")
+    share = members.groupBy("group", "odd", "band").agg(F.count("*").alias("m"))
+    whole = share.groupBy("group").agg(F.sum("m").alias("n"))
+    few = members.join(whole.where(F.col("n") <= BLOCK).select("group"), "group", "left_semi").select(F.col("group").alias("task"), F.lit(0).alias("side"), "rep", "component")
+    large = share.join(whole.where(F.col("n") > BLOCK).select("group"), "group", "left_semi").select("group", "odd", "band", F.ceil(F.col("m") / BLOCK).alias("cuts"))
+    part = F.concat_ws(":", "group", F.col("odd").cast("int"), "band", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+    many = stored(members.join(large, ["group", "odd", "band"]).select("group", "odd", part.alias("part"), "rep", "component", "n_shingles"), "jaccard-parts")
+    parts = many.groupBy("group", "odd", "part").agg(F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), (F.min("component") != F.max("component")).alias("mixed"))
+    x, y = parts.where("odd").alias("x"), parts.alias("y")
+    pair = (F.col("y.odd") & (F.col("x.part") < F.col("y.part"))) | ~F.col("y.odd") | ((F.col("x.part") == F.col("y.part")) & F.col("x.mixed"))
+    near = (4 * F.col("x.large") >= 3 * F.col("y.small")) & (4 * F.col("y.large") >= 3 * F.col("x.small"))
+    pairs = x.join(y, "group").where(pair & near).select(F.concat_ws("|", "x.part", "y.part").alias("task"), F.col("x.part").alias("one"), F.col("y.part").alias("two"))
+    side = lambda i, c: F.struct(F.lit(i).alias("side"), F.col(c).alias("part"))
+    sides = F.when(F.col("one") == F.col("two"), F.array(side(0, "one"))).otherwise(F.array(side(0, "one"), side(1, "two")))
+    dealt = pairs.select("task", F.explode(sides).alias("s")).select("task", "s.side", "s.part")
+    return few.unionByName(dealt.join(many.select("part", "rep", "component"), "part").select("task", "side", "rep", "component"))
+
+
+def _cost(n: F.Column, odd: F.Column) -> F.Column:
+    """About how many texts the tasks of a group take."""
+    blocks = lambda c: F.ceil(c / BLOCK)
+    return F.when(n <= BLOCK, n.cast("double")).otherwise(2.0 * BLOCK * blocks(odd) * (blocks(odd) / 2 + blocks(n - odd)))
+
+
 def _unsettled(first: DataFrame, state: DataFrame) -> DataFrame | None:
-    """(task, side, rep, component) of what step 4 compares; None if every common bucket is settled."""
+    """(task, side, rep, component) of what step 4 compares; None if all is settled."""
     several = lambda c: F.min(c) != F.max(c)
-    open_ = state.groupBy("family").agg((several("component") & several("block")).alias("open")).where("open").select("family")
-    loose = state.join(open_, "family", "left_semi").select("rep", "block", "component", "n_shingles")
-    held = first.select("rep", "bands").join(loose, "rep").select("rep", "block", "component", "n_shingles", F.explode("bands").alias("key"))
+    open_ = state.groupBy("family").agg(several("component").alias("c"), several("block").alias("b")).where("c and b").select("family")
+    loose = stored(state.join(open_, "family", "left_semi").select("family", "rep", "block", "component", "n_shingles"), "jaccard-loose")
+    if not loose.limit(1).count():
+        return None
+    sizes = loose.groupBy("family", "component").agg(F.count("*").alias("m"))
+    families = sizes.groupBy("family").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("component", F.struct("m", -F.col("component"))).alias("head"))
+    families = families.select("family", "head", _cost(F.col("n"), F.col("n") - F.col("most")).alias("cost"))
+    members = stored(loose.join(families, "family").withColumn("odd", F.col("component") != F.col("head")), "jaccard-odd")
+
+    held = first.select("rep", "bands").join(members, "rep").select("family", "cost", "rep", "block", "component", "n_shingles", "odd", F.explode("bands").alias("key"))
     held = stored(held, "jaccard-held")
-    apart = (F.col("n") > 2) | (4 * F.col("small") >= 3 * F.col("large"))
     buckets = held.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("component").alias("head"),
-        F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), (several("component") & several("block")).alias("open"),
-    ).where("open").where(apart)
-    once = stored(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("head").alias("head")).select("key", "n", "head"), "jaccard-buckets")
-    if not once.limit(1).count():
-        return None
-    members = held.join(once, "key").select("key", "n", "head", "rep", "component", "n_shingles")
-    few = members.where(F.col("n") <= BLOCK).select(F.col("key").cast("string").alias("task"), F.lit(0).alias("side"), "rep", "component")
-    size = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("long")
-    part = F.concat_ws(":", "key", size, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-    many = stored(members.where(F.col("n") > BLOCK).withColumn("part", part), "jaccard-parts")
-    parts = many.groupBy("key", "part").agg(
-        F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.max(F.col("component") != F.col("head")).alias("open"), several("component").alias("mixed"),
+        F.count("*").alias("n"), F.count_if("odd").alias("odds"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("family").alias("family"),
+        F.min("cost").alias("cost"), F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), several("component").alias("c"), several("block").alias("b"),
     )
-    x, y = parts.where("open").alias("x"), parts.alias("y")
-    pair = (F.col("x.part") < F.col("y.part")) | ((F.col("x.part") != F.col("y.part")) & ~F.col("y.open")) | ((F.col("x.part") == F.col("y.part")) & F.col("x.mixed"))
-    near = (4 * F.col("x.large") >= 3 * F.col("y.small")) & (4 * F.col("y.large") >= 3 * F.col("x.small"))
-    pairs = x.join(y, "key").where(pair & near).select(F.concat_ws("|", "x.part", "y.part").alias("task"), F.col("x.part").alias("one"), F.col("y.part").alias("two"))
-    sides = pairs.select("task", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("part")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("part")), F.struct(F.lit(1).alias("side"), F.col("two").alias("part"))))).alias("s"))
-    long = sides.select("task", "s.side", "s.part").join(many.select("part", "rep", "component"), "part").select("task", "side", "rep", "component")
-    return few.unionByName(long)
+    buckets = buckets.where("c and b").where((F.col("n") > 2) | (4 * F.col("small") >= 3 * F.col("large")))
+    once = stored(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("odds").alias("odds"), F.min("family").alias("family"), F.min("cost").alias("cost")), "jaccard-buckets")
+    by_bucket = once.groupBy("family").agg(F.sum(_cost(F.col("n"), F.col("odds"))).alias("total"), F.min("cost").alias("cost"))
+    whole = stored(by_bucket.where(F.col("cost") < F.col("total")).select("family"), "jaccard-whole")
+    as_families = members.join(whole, "family", "left_semi").select(F.concat(F.lit("f"), "family").alias("group"), "rep", "component", "n_shingles", "odd")
+    keys = once.join(whole, "family", "left_anti").select("key")
+    as_buckets = held.join(keys, "key").select(F.concat(F.lit("b"), "key").alias("group"), "rep", "component", "n_shingles", "odd")
+    return _cut_and_paired(as_families.unionByName(as_buckets))
 
 
 def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
