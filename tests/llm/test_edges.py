@@ -274,3 +274,20 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     rate = {s: round(n**poisson_mix.TEMPERATURE / total * len(keep) / n, 6) for s, n in sizes.items()}
     want = sorted((*r, c) for r in keep for c in range(poisson_copies(r[0], rate[r[3]])))
     assert sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars, r.copy) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("length", [5, 7, 20, 50])
+def test_prefix_doubling_equals_sampled_positions(spark, length):
+    from trunkline.llm.prefix_doubling import repeated_windows
+
+    rng = random.Random(length)
+    shared = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (30, 60, 90)]
+    rows = [(i % 25, rng.choice(shared) + "".join(rng.choice("abcé ") for _ in range(rng.randrange(40))) + rng.choice(shared)) for i in range(30)] + [(40, None), (41, ""), (None, shared[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, want = {}, set()
+    for k, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        b = (text or "").encode()
+        for p in range(len(b) - length + 1):
+            if first.setdefault(b[p : p + length], k) < k:
+                want.add((k, p))
+    assert {tuple(r) for r in repeated_windows(docs, length).collect()} == want
