@@ -291,3 +291,41 @@ def test_prefix_doubling_equals_sampled_positions(spark, length):
             if first.setdefault(b[p : p + length], k) < k:
                 want.add((k, p))
     assert {tuple(r) for r in repeated_windows(docs, length).collect()} == want
+
+
+def best_paths(span, model, breaks):
+    """Texts of all best paths through the lattice, by trying every path."""
+    import itertools
+
+    from trunkline.llm.toxicity import lattice
+
+    scored = []
+    for path in itertools.product(*lattice(span, breaks)):
+        x = y = 0
+        score, out = 0.0, ""
+        for letter, cost in path:
+            score += cost
+            if letter == " ":
+                score += model[x, y, 0] - 1.0
+                x = y = 0
+            elif letter:
+                z = ord(letter) - 96 if "a" <= letter <= "z" else 27
+                score += model[x, y, z]
+                x, y = y, z
+            else:
+                score -= 1.0
+            out += letter
+        scored.append((score + model[x, y, 0], out))
+    top = max(s for s, _ in scored)
+    return {out for s, out in scored if s > top - 1e-9}
+
+
+def test_decoder_against_all_paths():
+    from trunkline.llm import toxicity
+
+    model = toxicity.log_model(toxicity.word_trigrams("you are a stupid idiot go away now please".split() * 20))
+    rng = random.Random(13)
+    spans = ["1d10t", "s t u p", "i.d-1_0", "st00pid", "aaa", "$$", "é1!", "*a*"] + ["".join(rng.choice("iodtsaue10$!* .") for _ in range(rng.randrange(1, 8))) for _ in range(150)]
+    for span in spans:
+        for breaks in (False, True):
+            assert toxicity.decode(span, model, breaks) in best_paths(span, model, breaks), span

@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_poisson_mix": poisson_mix.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
+    "op3_transport_stream": transport_stream.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_suffix_dedup": suffix_dedup.ORACLE,

@@ -226,3 +226,29 @@ def media_features(media: DataFrame) -> DataFrame:
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, stamps, access_stamps."""
     return media_features(media_column(documents(spark, sf_dir)))
+
+
+_TABLES = "".join(f"'47{pid}' || printf('%02X', 16 | ((i // 8) % 16)) || '{packet[4:].tobytes().hex().upper()}' || " for pid, packet in (("4000", PAT_PACKET), ("4100", PMT_PACKET)))
+#: The multiplexer's layout once more, in hexadecimal digits: PES header and payload, first packet, full packets, stuffed last packet.
+ORACLE = f"""
+WITH crc AS (SELECT list(v ORDER BY i) AS remainders FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(0, 256) t(i))),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, strlen(h) // 2 AS n_bytes, rpad(h, greatest(128, (strlen(h) + 127) // 128 * 128)::INT, '0') AS h FROM d),
+u AS (SELECT doc_id, i, i * {UNIT_TICKS} AS t, substr(h, i * {2 * UNIT_BYTES} + 1, {2 * UNIT_BYTES}) AS body FROM p, LATERAL (SELECT unnest(range(0, (strlen(h) + {2 * UNIT_BYTES - 1}) // {2 * UNIT_BYTES})) AS i)),
+e AS (SELECT doc_id, i, t, strlen(body) // 2 AS l, '000001BD' || printf('%04X', strlen(body) // 2 + 8) || '848005'
+  || printf('%02X%02X%02X%02X%02X', 33 | ((t >> 29) & 14), (t >> 22) & 255, ((t >> 14) & 254) | 1, (t >> 7) & 255, ((t << 1) & 254) | 1) || body AS pes FROM u),
+k AS (SELECT *, greatest(0, l - 162) AS rest, 1 + (greatest(0, l - 162) + 183) // 184 AS n FROM e),
+c AS (SELECT *, (sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n)::BIGINT AS cc FROM k),
+m AS (SELECT doc_id, i, t, n, CASE WHEN i % {RANDOM_ACCESS_EVERY} = 0 THEN {_TABLES} '' ELSE '' END
+  || '474101' || printf('%02X%02X', 48 | (cc % 16), 7 + greatest(0, 162 - l)) || CASE WHEN i % {RANDOM_ACCESS_EVERY} = 0 THEN '50' ELSE '10' END || printf('%012X', (t << 15) | 32256)
+  || repeat('FF', greatest(0, 162 - l)) || substr(pes, 1, 2 * least(176, l + 14))
+  || coalesce(array_to_string(list_transform(range(1, n), lambda j: '470101' || CASE WHEN 184 * j <= rest THEN printf('%02X', 16 | ((cc + j) % 16)) || substr(pes, 2 * (176 + 184 * (j - 1)) + 1, 368)
+    ELSE printf('%02X%02X', 48 | ((cc + j) % 16), 183 - rest % 184) || CASE WHEN rest % 184 < 183 THEN '00' || repeat('FF', 182 - rest % 184) ELSE '' END || substr(pes, 2 * (176 + 184 * (j - 1)) + 1, 2 * (rest % 184)) END), ''), '') AS media FROM c),
+g AS (SELECT doc_id, string_agg(media, '' ORDER BY i) AS media, count(*) AS units, sum(n)::BIGINT AS n, list(t ORDER BY i) AS stamps, list(t ORDER BY i) FILTER (i % {RANDOM_ACCESS_EVERY} = 0) AS access_stamps, string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (i % {RANDOM_ACCESS_EVERY} = 0) AS access FROM m GROUP BY doc_id)
+SELECT p.doc_id, p.n_bytes, strlen(p.h) // 2 AS payload_bytes, sha256(unhex(p.h)) AS payload_sha256,
+  xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(64), lambda b: ('0x' || substr(p.h, strlen(p.h) - 127 + 2 * b, 2))::BIGINT)), lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]))) AS tail_crc32,
+  strlen(g.media) // 2 AS media_bytes, sha256(unhex(g.media)) AS media_sha256,
+  'packets=' || (g.n + 2 * ((g.units + {RANDOM_ACCESS_EVERY - 1}) // {RANDOM_ACCESS_EVERY})) || ';units=' || g.units || ';breaks=0;access=' || g.access || ';last=' || printf('%.2f', (g.units - 1) * {UNIT_TICKS} / {CLOCK}.0) AS feature,
+  g.stamps, g.access_stamps
+FROM p JOIN g ON g.doc_id = p.doc_id, crc
+"""
