@@ -45,7 +45,7 @@ def repeated_windows(docs: DataFrame, length: int, first: int = FIRST) -> DataFr
     while have < length:
         step = min(have, length - have)
         ahead = rows.select("row", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
-        pairs = stored(rows.join(ahead, ["row", "at"]), f"doubling-pairs-{have}")
+        pairs = stored(rows.select("row", "doc_id", "at", "rank").join(ahead, ["row", "at"]), f"doubling-pairs-{have}")
         shared = pairs.groupBy("rank", "next").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
         ranked = stored(shared.orderBy("rank", "next").select("rank", "next", "least", F.monotonically_increasing_id().alias("place")), f"doubling-ranks-{have}")
         have += step
